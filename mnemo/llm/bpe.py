@@ -79,7 +79,6 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     ``path`` must be readable on every executor (it belongs to an installed package).
     """
-    spark = df.sparkSession
     is_long = F.coalesce(F.length(text), F.lit(0)) > chunk_chars
     fields = list(df.schema.fields)
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
@@ -131,7 +130,6 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
                 yield pa.RecordBatch.from_arrays([*keep, pa.array([ids], pa.list_(pa.int32()))], names=[*(f.name for f in fields), out])
 
     whole = long_rows.join(stitched, key).mapInArrow(stitch, schema)
-    assert spark is not None
     return direct.unionByName(whole)
 
 

@@ -42,13 +42,55 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    from . import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    part = langid.fold("doc_id", 5)
+    lists = langid.train(docs.filter(part != 0), "lang", "text", F.xxhash64("doc_id"))
+    held = docs.select("doc_id", "text", F.coalesce(part == 0, F.lit(False)).alias("held_out"))
+    return langid.predict(held, lists).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    from . import langid, zquality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = langid.fold("doc_id", 5)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = zquality.train(docs.filter(part != 0).join(labels, "doc_id"), "text", "quality", "doc_id")
+    held = docs.withColumn("held_out", F.coalesce(part == 0, F.lit(False)))
+    return zquality.score(held, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    from . import winnow
+
+    found = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_rank_order_langid": op4_rank_order_langid,
+    "op8_zstd_quality": op8_zstd_quality,
+    "op9_winnowing": op9_winnowing,
 }
 
 #: Words of whole texts, A-Z in lower case.
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{words}')"
+_ALNUM = _WORDS.replace("{words}", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 ORACLES: dict[str, str] = {
     "op3_minhash_dedup": f"""
@@ -64,4 +106,17 @@ c AS (SELECT a AS doc_id, min(b) AS b FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) AS component_id,
        d.doc_id = least(d.doc_id, coalesce(c.b, d.doc_id)) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op9_winnowing": f"""
+WITH dw AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+iw AS (SELECT item_id, {_ALNUM} AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 10 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 8), lambda i: array_to_string(ws[i:i+9], ' ')) END) AS x FROM iw),
+k AS (SELECT DISTINCT least(len(ws), 10) AS k FROM iw WHERE len(ws) > 0),
+p AS (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS pos FROM dw, k WHERE len(ws) >= k),
+h AS (SELECT doc_id, k, pos, item_id FROM p JOIN i ON i.x = array_to_string(p.ws[pos:pos+k-1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS w FROM (SELECT DISTINCT doc_id, k, pos FROM h)) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY 1)
+SELECT dw.doc_id, len(dw.ws) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
