@@ -80,7 +80,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     ``path`` must be readable on every executor (it belongs to an installed package).
     """
     is_long = F.coalesce(F.length(text), F.lit(0)) > chunk_chars
-    fields = list(df.schema.fields)
+    fields, names = list(df.schema.fields), df.columns
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +126,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
                 ids = join_chunks([(c["cuts"], c["sizes"], c[out]) for c in chunks])
                 if ids is None:
                     ids = enc.encode(row.column(text)[0].as_py())
-                keep = [row.column(f.name) for f in fields]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array([ids], pa.list_(pa.int32()))], names=[*(f.name for f in fields), out])
+                keep = [row.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*keep, pa.array([ids], pa.list_(pa.int32()))], names=[*names, out])
 
     whole = long_rows.join(stitched, key).mapInArrow(stitch, schema)
     return direct.unionByName(whole)

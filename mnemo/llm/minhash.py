@@ -50,6 +50,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
         yield np.unique(tx.gram_hashes(hashes[lo:hi], min(size, hi - lo))) if hi > lo else np.zeros(0, np.uint64)
 
 
+def digest(grams: np.ndarray) -> int:
+    """A 64-bit digest of a set, whatever its order."""
+    return int(tx.mix(np.array([tx.mix(grams ^ tx.BASE).sum() + np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
+
+
 def minima(grams: np.ndarray) -> np.ndarray:
     out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(grams), 1024):
@@ -70,16 +75,16 @@ def sketch(low: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
-    """(id, n, node, bands, sketch, grams) of every row; node is the 64-bit digest of the set (null if empty)."""
+    """(id, n, node, bands, sketch) of every row; node is the 64-bit digest of the set (null if empty)."""
     kind = df.schema[key].dataType.simpleString()
-    out = f"id {kind}, n bigint, node bigint, bands array<bigint>, sketch array<bigint>, grams array<bigint>"
+    out = f"id {kind}, n bigint, node bigint, bands array<bigint>, sketch array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.pieces(batch, text):
                 sets = list(shingle_sets(*tx.column_bytes(part.column(text)), size))
                 n = np.array([len(s) for s in sets], np.int64)
-                node = [int(tx.mix(np.array([tx.mix(s ^ tx.BASE).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else None for s in sets]
+                node = [digest(s) if len(s) else None for s in sets]
                 lows = [minima(s) for s in sets]
                 some = (n > 0).astype(np.int64)
                 cat = lambda xs, t=np.uint64: (np.concatenate(xs) if xs else np.zeros(0, t)).view(np.int64)
@@ -90,9 +95,8 @@ def signatures(df: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
                         pa.array(node, pa.int64()),
                         tx.list_array(cat([band_keys(x) for x, k in zip(lows, n, strict=True) if k]), some * BANDS),
                         tx.list_array(cat([sketch(x) for x, k in zip(lows, n, strict=True) if k]), some * WORDS),
-                        tx.list_array(cat(sets), n),
                     ],
-                    names=["id", "n", "node", "bands", "sketch", "grams"],
+                    names=["id", "n", "node", "bands", "sketch"],
                 )
 
     return df.select(key, text).mapInArrow(run, out)
@@ -121,10 +125,29 @@ def _near(a: str, b: str) -> Column:
     return estimate([F.col(f"{a}{i}") for i in range(WORDS)], [F.col(f"{b}{i}") for i in range(WORDS)]) >= SKETCH_FLOOR
 
 
-def _confirm(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+def whole_sets(df: DataFrame, key: str, text: str, size: int, need: DataFrame) -> DataFrame:
+    """(node, grams) of the classes in ``need`` (node, least), read again from one text of each.
+
+    ``need`` is a written table, so its size is known when the join is planned.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.pieces(batch, text):
+                sets = [s for s in shingle_sets(*tx.column_bytes(part.column(text)), size) if len(s)]
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), tx.list_array(flat.view(np.int64), np.array([len(s) for s in sets], np.int64))], names=["node", "grams"])
+
+    rows = df.select(F.col(text).alias(text), F.xxhash64(key).alias("__at")).join(need.select(F.xxhash64("least").alias("__at")), "__at", "left_semi")
+    made = rows.select(text).mapInArrow(run, "node bigint, grams array<bigint>")
+    return made.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = materialize(sig.select("node", "grams").join(need, "node", "left_semi").dropDuplicates(["node"]))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    need = materialize(classes.select("node", "least").join(ends, "node"))
+    sets = materialize(whole_sets(df, key, text, size, need))
     one = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     two = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     # The array of b travels with the pair; that of a, which may be the centre of a large star, does not.
@@ -146,7 +169,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     members = materialize(members.join(shared, "band"))
     stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(_sketch_columns(classes, "b"), "b").join(_sketch_columns(classes, "a"), "a").filter(_near("a", "b")).select("a", "b")
-    links = materialize(_confirm(materialize(stars), sig, percent))
+    links = materialize(_confirm(materialize(stars), classes, df, key, text, size, percent))
     found = components(links)
 
     # Band keys that still hold several components: compare across components only.
@@ -156,7 +179,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     left = rest.join(_sketch_columns(classes, "a"), rest["node"] == F.col("a")).drop("node").withColumnRenamed("comp", "ca")
     right = rest.join(_sketch_columns(classes, "b"), rest["node"] == F.col("b")).drop("node").withColumnRenamed("comp", "cb")
     across = materialize(left.join(right, "band").filter(F.col("ca") < F.col("cb")).filter(_near("a", "b")).select("a", "b").distinct())
-    more = materialize(_confirm(across, sig, percent))
+    more = across if across.isEmpty() else materialize(_confirm(across, classes, df, key, text, size, percent))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
 

@@ -80,10 +80,38 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    from . import html
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    import uuid
+
+    from . import warc
+    from ._io import shared_dir
+
+    path = f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}"
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select(
+        F.expr("try_cast(id AS bigint)").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("kind").alias("record_type"),
+        F.expr("try_cast(refers AS bigint)").alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_rank_order_langid": op4_rank_order_langid,
+    "op5_site_templates": op5_site_templates,
+    "op7_warc_chain": op7_warc_chain,
     "op8_zstd_quality": op8_zstd_quality,
     "op9_winnowing": op9_winnowing,
 }
@@ -119,4 +147,14 @@ t AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (S
 SELECT dw.doc_id, len(dw.ws) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
        sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
 FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op7_warc_chain": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS hex FROM p),
+b AS (SELECT page_id, n, list_transform(range(1, 41), lambda i: instr('0123456789abcdef', substr(hex, i, 1)) - 1) AS v FROM d),
+t AS (SELECT page_id, n, list_concat([0], flatten(list_transform(v, lambda x: [(x // 8) % 2, (x // 4) % 2, (x // 2) % 2, x % 2]))) AS v FROM b),
+e AS (SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (16 * v[5*i+2] + 8 * v[5*i+3] + 4 * v[5*i+4] + 2 * v[5*i+5] + v[5*i+6] + 1)::BIGINT, 1)), '') AS digest FROM t),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM e)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM f""",
 }
