@@ -106,11 +106,26 @@ def op7_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    from . import rlbwt
+
+    found = rlbwt.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_rank_order_langid": op4_rank_order_langid,
     "op5_site_templates": op5_site_templates,
+    "op6_run_length_index": op6_run_length_index,
     "op7_warc_chain": op7_warc_chain,
     "op8_zstd_quality": op8_zstd_quality,
     "op9_winnowing": op9_winnowing,
