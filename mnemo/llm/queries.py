@@ -29,6 +29,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    from . import cws
+
+    found = cws.edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        cws.spelt("fp").alias("fingerprint"),
+        cws.spelt("edited_fp").alias("edited_fingerprint"),
+        cws.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        cws.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     from . import minhash
@@ -122,6 +138,7 @@ def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_weighted_sampling": op2_weighted_sampling,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_rank_order_langid": op4_rank_order_langid,
     "op5_site_templates": op5_site_templates,
