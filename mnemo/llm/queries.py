@@ -136,6 +136,17 @@ def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    from . import langid, lbl
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = langid.fold("doc_id", 10)
+    found, vocab = lbl.score(docs, "doc_id", "text", docs.filter(part != 0))
+    held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    return found.select(F.col("id").alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", F.lit(vocab.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_weighted_sampling": op2_weighted_sampling,
@@ -146,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc_chain": op7_warc_chain,
     "op8_zstd_quality": op8_zstd_quality,
     "op9_winnowing": op9_winnowing,
+    "op10_log_bilinear": op10_log_bilinear,
 }
 
 #: Words of whole texts, A-Z in lower case.
