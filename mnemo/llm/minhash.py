@@ -75,14 +75,14 @@ def sketch(low: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
-    """(id, n, node, bands, sketch) of every row; node is the 64-bit digest of the set (null if empty)."""
+    """(id, text_hash, n, node, bands, sketch) of every row; node is the 64-bit digest of the set (null if empty)."""
     kind = df.schema[key].dataType.simpleString()
-    out = f"id {kind}, n bigint, node bigint, bands array<bigint>, sketch array<bigint>"
+    out = f"id {kind}, text_hash bigint, n bigint, node bigint, bands array<bigint>, sketch array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, text):
-                sets = list(shingle_sets(*tx.column_bytes(part.column(text)), size))
+            for part in tx.pieces(batch, "__text"):
+                sets = list(shingle_sets(*tx.column_bytes(part.column("__text")), size))
                 n = np.array([len(s) for s in sets], np.int64)
                 node = [digest(s) if len(s) else None for s in sets]
                 lows = [minima(s) for s in sets]
@@ -90,16 +90,17 @@ def signatures(df: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
                 cat = lambda xs, t=np.uint64: (np.concatenate(xs) if xs else np.zeros(0, t)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(key),
+                        part.column(0),
+                        part.column(2),
                         pa.array(n),
                         pa.array(node, pa.int64()),
                         tx.list_array(cat([band_keys(x) for x, k in zip(lows, n, strict=True) if k]), some * BANDS),
                         tx.list_array(cat([sketch(x) for x, k in zip(lows, n, strict=True) if k]), some * WORDS),
                     ],
-                    names=["id", "n", "node", "bands", "sketch"],
+                    names=["id", "text_hash", "n", "node", "bands", "sketch"],
                 )
 
-    return df.select(key, text).mapInArrow(run, out)
+    return df.select(key, F.col(text).alias("__text"), F.xxhash64(text)).mapInArrow(run, out)
 
 
 def estimate(a: list[Column], b: list[Column]) -> Column:
@@ -156,7 +157,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, df: DataFrame, key: str, text
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """(id, n, node, component) of every row: set size, class of equal sets, least id reachable over links.
+    """(id, text_hash, n, node, component) of every row: set size, class of equal sets, least id reachable over links.
 
     Links join sets with 100 * intersection >= percent * union. ``percent`` below 75 would need more bands.
     """
@@ -187,4 +188,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     named = materialize(named)
     ids = named.groupBy("comp").agg(F.min("least").alias("component"))
     ids = named.join(ids, "comp").select("node", "component")
-    return sig.select("id", "n", "node").join(ids, "node", "left").select("id", "n", "node", F.coalesce("component", "id").alias("component"))
+    return sig.select("id", "text_hash", "n", "node").join(ids, "node", "left").select("id", "text_hash", "n", "node", F.coalesce("component", "id").alias("component"))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``df`` that are the least of their component, once each; rows with a null id stay."""
+    found = materialize(near_duplicates(df, key, text, size, percent))
+    gone = materialize(found.filter("id <> component").select(F.col("id").alias(key), F.col("text_hash").alias("__hash")).distinct())
+    kept = df.withColumn("__hash", F.xxhash64(text)).join(gone, [key, "__hash"], "left_anti")
+    again = found.filter("id = component AND n > 0").groupBy("id", "text_hash").agg(F.count("*").alias("c")).filter("c > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates([key, "__hash"])
+    return kept.select(*df.columns)

@@ -260,10 +260,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(df: DataFrame, text: str = "text", length: int = 200, max_variants: int = 8192) -> DataFrame:
-    """Append n_bytes, removed (array of byte ranges, merged) and kept (binary: the remaining bytes)."""
+def remove_repeats(df: DataFrame, text: str = "text", length: int = 200, max_variants: int = 8192, as_text: bool = False) -> DataFrame:
+    """Append n_bytes, removed (array of byte ranges, merged) and kept (the remaining bytes).
+
+    kept is binary, or with ``as_text`` a string without the characters that a range cut apart.
+    """
     spans = materialize(repeated_spans(df, text, length, max_variants))
-    schema = T.StructType([*df.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     names = df.columns
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -280,8 +283,9 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = 200, max_var
                         rest.append(raw[at:a])
                         at = e
                     gone.append([{"start": a, "end": e} for a, e in ranges])
-                    kept.append(b"".join([*rest, raw[at:]]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.diff(offsets)), pa.array(gone, span), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "removed", "kept"])
+                    rest.append(raw[at:])
+                    kept.append("".join(x.decode("utf-8", "ignore") for x in rest) if as_text else b"".join(rest))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.diff(offsets)), pa.array(gone, span), pa.array(kept, pa.string() if as_text else pa.binary())], names=[*names, "n_bytes", "removed", "kept"])
 
     joined = df.withColumn("__t1", F.xxhash64(text)).withColumn("__t2", F.hash(text)).join(spans.toDF("__t1", "__t2", "__spans"), ["__t1", "__t2"], "left")
     return joined.select(*names, "__spans").mapInArrow(run, schema)
