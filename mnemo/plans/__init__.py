@@ -1,0 +1,4 @@
+"""The query catalogue."""
+
+from . import views  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
