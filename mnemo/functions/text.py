@@ -32,6 +32,11 @@ def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value worked out once; a plain column inside a lambda is worked out per element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def est_tokens(text: Column) -> Column:
     """A quarter of the bytes, and 20 of overhead."""
     return F.floor(F.octet_length(text) / 4).cast("int") + 20
@@ -58,7 +63,7 @@ def trimmed(word: Column) -> Column:
 
 def content_terms(text: Column) -> Column:
     """Query terms without surrounding punctuation, of more than two bytes."""
-    low = F.transform(fields(text), lambda w: trimmed(F.lower(w)))
+    low = F.transform(fields(F.lower(text)), trimmed)
     return F.filter(low, lambda w: (F.octet_length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
@@ -69,8 +74,7 @@ def share(hits: Column, terms: Column) -> Column:
 
 def term_overlap(terms: Column, content: Column) -> Column:
     """Share of terms that are substrings of the lower-cased content."""
-    low = F.lower(content)
-    return share(F.size(F.filter(terms, lambda t: F.contains(low, t))), terms)
+    return bind(F.lower(content), lambda low: bind(terms, lambda ts: share(F.size(F.filter(ts, lambda t: F.contains(low, t))), ts)))
 
 
 def graded_relevance(query: Column, content: Column) -> Column:
@@ -78,16 +82,15 @@ def graded_relevance(query: Column, content: Column) -> Column:
 
     Terms with Han, kana or hangul match if a run of two or more such characters stands in the content.
     """
-    low = F.lower(content)
     terms = F.filter(F.transform(fields(query), lambda w: F.btrim(F.lower(w), F.lit(TRIM_SET + "，。？！"))), lambda w: (w != "") & ~w.isin(STOP_WORDS))
-    own = words(content, 2)
 
-    def matched(t: Column) -> Column:
+    def matched(t: Column, x: Column) -> Column:
         runs = F.regexp_extract_all(t, F.lit(CJK_RUN), F.lit(0))
-        ascii_hit = F.array_contains(own, t) | ((F.octet_length(t) >= 4) & F.exists(own, lambda w: F.startswith(w, F.left(t, F.lit(4)))))
-        return F.when(F.size(runs) > 0, F.exists(runs, lambda r: (F.length(r) >= 2) & F.contains(low, r))).otherwise(ascii_hit)
+        ascii_hit = F.array_contains(x["own"], t) | ((F.octet_length(t) >= 4) & F.exists(x["own"], lambda w: F.startswith(w, F.left(t, F.lit(4)))))
+        return F.when(F.size(runs) > 0, F.exists(runs, lambda r: (F.length(r) >= 2) & F.contains(x["low"], r))).otherwise(ascii_hit)
 
-    return F.when(F.size(terms) > 0, F.size(F.filter(terms, matched)) / F.size(terms)).otherwise(F.lit(0.5))
+    known = F.struct(F.lower(content).alias("low"), F.array_distinct(words(content, 2)).alias("own"), terms.alias("terms"))
+    return bind(known, lambda x: F.when(F.size(x["terms"]) > 0, F.size(F.filter(x["terms"], lambda t: matched(t, x))) / F.size(x["terms"])).otherwise(F.lit(0.5)))
 
 
 CJK_RUN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+"
@@ -117,7 +120,7 @@ def speaker_lines(content: Column) -> Column:
 def user_overlap(terms: Column, content: Column) -> Column:
     """Share of terms that stand in what speakers say."""
     speech = F.lower(F.array_join(F.transform(speaker_lines(content), lambda x: x["speech"]), " "))
-    return share(F.size(F.filter(terms, lambda t: F.contains(speech, t))), terms)
+    return bind(speech, lambda said: bind(terms, lambda ts: share(F.size(F.filter(ts, lambda t: F.contains(said, t))), ts)))
 
 
 def query_names(query: Column) -> Column:
@@ -129,16 +132,20 @@ def query_names(query: Column) -> Column:
 
 def person_mention(names: Column, content: Column) -> Column:
     """Share of speaker lines whose speaker holds one of the names."""
-    lines = speaker_lines(content)
-    hit = F.filter(lines, lambda x: F.exists(names, lambda n: F.contains(F.lower(x["speaker"]), n)))
-    return F.when((F.size(names) > 0) & (F.size(lines) > 0), F.size(hit) / F.size(lines)).otherwise(F.lit(0.0))
+
+    def among(lines: Column) -> Column:
+        hit = F.filter(lines, lambda x: F.exists(names, lambda n: F.contains(F.lower(x["speaker"]), n)))
+        return F.when((F.size(names) > 0) & (F.size(lines) > 0), F.size(hit) / F.size(lines)).otherwise(F.lit(0.0))
+
+    return bind(speaker_lines(content), among)
 
 
 def preference_score(content: Column) -> Column:
     """Number of preference markers in the content over 5, at most 1."""
-    low = F.lower(content)
-    hits = reduce(lambda a, b: a + b, [F.contains(low, F.lit(m)).cast("int") for m in PREFERENCE_MARKERS])
-    return F.least(hits / F.lit(5.0), F.lit(1.0))
+    def hits(low: Column) -> Column:
+        return reduce(lambda a, b: a + b, [F.contains(low, F.lit(m)).cast("int") for m in PREFERENCE_MARKERS])
+
+    return F.least(bind(F.lower(content), hits) / F.lit(5.0), F.lit(1.0))
 
 
 def has_word(text: Column, values: list[str], trim: str = "") -> Column:

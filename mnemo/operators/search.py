@@ -18,6 +18,11 @@ from mnemo.functions import score as S
 from mnemo.functions import text as X
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Slim rows dealt out evenly before costly expressions (adaptive execution would merge them by their few bytes)."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(term, id, tf) of all words."""
     return docs.select(F.col(key).alias("id"), F.explode(X.words(F.coalesce(text, F.lit("")))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
@@ -124,12 +129,12 @@ def blend(fused: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     ``queries`` has (qid, query); ``docs`` (id, content, kind, age_hours, priority).
     """
     asked = queries.select("qid", "query", X.content_terms(F.col("query")).alias("terms"), X.query_names(F.col("query")).alias("names"), X.is_temporal(F.col("query")).alias("temporal"), X.is_update(F.col("query")).alias("update"), X.wants_preference(F.col("query")).alias("wants"), X.temporal_window(F.col("query")).alias("window"))
-    rows = fused.join(asked, "qid").join(docs, "id")
+    rows = dealt(fused, "qid", "id").join(asked, "qid").join(docs, "id")
     content = F.col("content")
-    s = F.col("score")
-    s = s * 0.7 + X.term_overlap(F.col("terms"), content) * 0.3 * s + X.user_overlap(F.col("terms"), content) * 0.1 * s
-    s = F.when(F.col("wants"), s + X.preference_score(content) * 0.2 * s).otherwise(s)
-    rows = rows.withColumn("s", F.when(F.size("names") > 0, s + X.person_mention(F.col("names"), content) * 0.3 * s).otherwise(s))
+    factor = 0.7 + X.term_overlap(F.col("terms"), content) * 0.3 + X.user_overlap(F.col("terms"), content) * 0.1
+    liked = F.when(F.col("wants"), 1 + X.preference_score(content) * 0.2).otherwise(1.0)
+    named = F.when(F.size("names") > 0, 1 + X.person_mention(F.col("names"), content) * 0.3).otherwise(1.0)
+    rows = rows.withColumn("s", F.col("score") * factor * liked * named)
     w = Window.partitionBy("qid")
     newest, oldest = F.min("age_hours").over(w), F.max("age_hours").over(w)
     relative = 1.0 - (F.col("age_hours") - newest) / F.greatest(oldest - newest, F.lit(1))
@@ -204,7 +209,7 @@ def rerank(ranked: DataFrame, docs: DataFrame, queries: DataFrame, scorer: Colum
     Cut points are characters; summaries and model scorers plug in as a column (a pandas UDF, say).
     """
     scorer = X.term_overlap(X.content_terms(F.col("query")), F.col("chunk")) if scorer is None else scorer
-    rows = ranked.filter(F.col("rank") <= pool).join(docs.select("id", "content"), "id").join(queries.select("qid", "query"), "qid")
+    rows = dealt(ranked.filter(F.col("rank") <= pool), "qid", "id").join(docs.select("id", "content"), "id").join(queries.select("qid", "query"), "qid")
     parts = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda i: F.substring("content", i * chunk + 1, F.lit(chunk)))
     rows = rows.select("qid", "id", "query", F.col("rank").alias("before"), F.explode(F.filter(parts, lambda c: c != "")).alias("chunk"))
     best = rows.groupBy("qid", "id", "before").agg(F.round(F.max(scorer), 6).alias("score"))

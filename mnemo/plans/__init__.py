@@ -1,4 +1,4 @@
 """The query catalogue."""
 
-from . import retrieval, views  # noqa: F401
+from . import context, graph, retrieval, views  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

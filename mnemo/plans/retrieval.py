@@ -184,7 +184,7 @@ def relative_recency_rank(t):
 SELECT qid, id, round(CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: contains(low, t))) / len(terms) ELSE 0 END, 6) AS overlap FROM r""")
 def term_overlap(t):
     docs = t.live("id", "content")
-    rows = R.bm25_search(docs, asked(t), 10).join(docs, "id").join(asked(t), "qid")
+    rows = R.dealt(R.bm25_search(docs, asked(t), 10), "qid", "id").join(docs, "id").join(asked(t), "qid")
     return rows.select("qid", "id", F.round(X.term_overlap(X.content_terms(F.col("query")), F.col("content")), 6).alias("overlap"))
 
 
@@ -193,7 +193,7 @@ def term_overlap(t):
 SELECT qid, id, round(CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: list_contains(own, t) OR (strlen(t) >= 4 AND len(list_filter(own, lambda w: starts_with(w, left(t, 4)))) > 0))) / len(terms) ELSE 0.5 END, 6) AS relevance FROM r""")
 def graded_relevance(t):
     docs = t.live("id", "content")
-    rows = R.bm25_search(docs, asked(t), 10).join(docs, "id").join(asked(t), "qid")
+    rows = R.dealt(R.bm25_search(docs, asked(t), 10), "qid", "id").join(docs, "id").join(asked(t), "qid")
     return rows.select("qid", "id", F.round(X.graded_relevance(F.col("query"), F.col("content")), 6).alias("relevance"))
 
 
