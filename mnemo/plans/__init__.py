@@ -1,4 +1,4 @@
 """The query catalogue."""
 
-from . import context, graph, lifecycle, retrieval, views  # noqa: F401
+from . import context, graph, lifecycle, mining, retrieval, views  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
