@@ -3,14 +3,16 @@
 1. Each text gives its set of word shingles (64-bit hashes), ``BANDS`` x ``ROWS`` minima, the band keys
    and a packed sketch of the low ``BITS`` bits of every minimum. Texts with equal sets fall into one
    class by a grouped minimum, so exact copies never meet as pairs.
-2. Classes that share a band key are linked to the least class of that key (a star, not all pairs).
-   The collision-corrected estimate from the sketches drops hopeless pairs, whole sets confirm the rest.
-3. Components of the confirmed stars tell which band keys still hold several components. Only there,
-   members of different components are compared by sketch and confirmed, so no link between different
+2. Classes that share a band key form stars around the least class of that key, not all pairs: each
+   class first meets only the least of its centres. The collision-corrected estimate from the sketches
+   drops hopeless pairs, whole sets confirm the rest, and the links give components.
+3. Band keys that still hold several components are worked on: members of other components meet the
+   key's centre, and what then is still apart meets across components only. So no link between
    components that share any band key is lost, while members of one component are never paired again.
 
 A pair at similarity 0.75 shares one of 32 bands of 4 rows with probability 1 - 5e-6; the sketch test
-keeps pairs down to an estimate of 0.55, five standard deviations below the threshold.
+keeps pairs down to an estimate of 0.55, five standard deviations below the threshold; the wide one
+(2,048 one-bit minima, read only where components are still apart) down to 0.684, four and a half.
 
 Texts without words (null, empty, blank) have an empty set and link with nothing. Null or repeated ids
 are kept; a class's id is the least non-null id in it.
@@ -35,8 +37,11 @@ HASHES = BANDS * ROWS
 SLOTS = 64 // BITS
 WORDS = HASHES // SLOTS
 SKETCH_FLOOR = 0.55
+WIDE = 2048
+WIDE_FLOOR = 0.684
 
 _seeds = np.random.Generator(np.random.PCG64(20240131)).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64)
+_wide = np.random.Generator(np.random.PCG64(20240207)).integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL, _ADD = _seeds[0] * np.uint64(2) + np.uint64(1), _seeds[1]
 
 
@@ -74,6 +79,16 @@ def sketch(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=1)
 
 
+def wide_sketch(grams: np.ndarray) -> np.ndarray:
+    """One bit of each of WIDE further minima, packed."""
+    low = np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
+    mixed = tx.mix(grams ^ tx.WORD_BASE)
+    for at in range(0, len(grams), 64):
+        np.minimum(low, (mixed[at : at + 64, None] * _wide).min(axis=0), out=low)
+    # The lowest bit of an odd multiple is that of the hash: take one from the mixed minimum instead.
+    return np.packbits((tx.mix(low) & np.uint64(1)).astype(np.uint8)).view(np.uint64)
+
+
 def signatures(df: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
     """(id, text_hash, n, node, bands, sketch) of every row; node is the 64-bit digest of the set (null if empty)."""
     kind = df.schema[key].dataType.simpleString()
@@ -126,8 +141,8 @@ def _near(a: str, b: str) -> Column:
     return estimate([F.col(f"{a}{i}") for i in range(WORDS)], [F.col(f"{b}{i}") for i in range(WORDS)]) >= SKETCH_FLOOR
 
 
-def whole_sets(df: DataFrame, key: str, text: str, size: int, need: DataFrame) -> DataFrame:
-    """(node, grams) of the classes in ``need`` (node, least), read again from one text of each.
+def whole_sets(df: DataFrame, key: str, text: str, size: int, need: DataFrame, wide: bool = False) -> DataFrame:
+    """(node, grams, wide) of the classes in ``need`` (node, least), read again from one text of each.
 
     ``need`` is a written table, so its size is known when the join is planned.
     """
@@ -137,18 +152,20 @@ def whole_sets(df: DataFrame, key: str, text: str, size: int, need: DataFrame) -
             for part in tx.pieces(batch, text):
                 sets = [s for s in shingle_sets(*tx.column_bytes(part.column(text)), size) if len(s)]
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), tx.list_array(flat.view(np.int64), np.array([len(s) for s in sets], np.int64))], names=["node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), tx.list_array(flat.view(np.int64), np.array([len(s) for s in sets], np.int64)), tx.list_array(np.concatenate([wide_sketch(s) for s in sets]).view(np.int64) if sets and wide else np.zeros(0, np.int64), np.full(len(sets), WIDE // 64 if wide else 0))], names=["node", "grams", "wide"])
 
     rows = df.select(F.col(text).alias(text), F.xxhash64(key).alias("__at")).join(need.select(F.xxhash64("least").alias("__at")), "__at", "left_semi")
-    made = rows.select(text).mapInArrow(run, "node bigint, grams array<bigint>")
+    made = rows.select(text).mapInArrow(run, "node bigint, grams array<bigint>, wide array<bigint>")
     return made.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def _sets_of(nodes: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str, size: int, wide: bool = False) -> DataFrame:
+    need = materialize(classes.select("node", "least").join(nodes.distinct(), "node"))
+    return materialize(whole_sets(df, key, text, size, need, wide))
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = materialize(classes.select("node", "least").join(ends, "node"))
-    sets = materialize(whole_sets(df, key, text, size, need))
     one = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     two = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     # The array of b travels with the pair; that of a, which may be the centre of a large star, does not.
@@ -168,21 +185,51 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     members = classes.select("node", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("band", "centre")
     members = materialize(members.join(shared, "band"))
-    stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(_sketch_columns(classes, "b"), "b").join(_sketch_columns(classes, "a"), "a").filter(_near("a", "b")).select("a", "b")
-    links = materialize(_confirm(materialize(stars), classes, df, key, text, size, percent))
-    found = components(links)
-
-    # Band keys that still hold several components: compare across components only.
-    labelled = members.select("band", "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_keys = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    rest = materialize(labelled.join(open_keys, "band", "left_semi"))
-    left = rest.join(_sketch_columns(classes, "a"), rest["node"] == F.col("a")).drop("node").withColumnRenamed("comp", "ca")
-    right = rest.join(_sketch_columns(classes, "b"), rest["node"] == F.col("b")).drop("node").withColumnRenamed("comp", "cb")
-    across = materialize(left.join(right, "band").filter(F.col("ca") < F.col("cb")).filter(_near("a", "b")).select("a", "b").distinct())
-    more = across if across.isEmpty() else materialize(_confirm(across, classes, df, key, text, size, percent))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that pass the sketches and then the whole sets."""
+        near = pairs.join(_sketch_columns(classes, "b"), "b").join(_sketch_columns(classes, "a"), "a").filter(_near("a", "b")).select("a", "b")
+        near = materialize(near)
+        sets = _sets_of(near.select(F.col("a").alias("node")).union(near.select("b")), classes, df, key, text, size)
+        return materialize(_confirm(near, sets, percent))
+
+    # First each class meets one other only: the least centre of all its band keys.
+    first = members.filter("node <> centre").groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b"))
+    found = components(confirmed(first))
+
+    def still_open() -> DataFrame:
+        """(band, node, comp) of the band keys that hold several components."""
+        labelled = members.select("band", "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        keys = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
+        return materialize(labelled.join(keys, "band", "left_semi"))
+
+    def grown(more: DataFrame) -> DataFrame:
+        return components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+
+    # Then the members of other components meet the centre of each such key.
+    rest = still_open()
+    centres = rest.groupBy("band").agg(F.min(F.struct("node", "comp")).alias("c")).select("band", F.col("c.node").alias("a"), F.col("c.comp").alias("ca"))
+    more = confirmed(rest.join(centres, "band").filter("comp <> ca").select("a", F.col("node").alias("b")).distinct())
     if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+        found = grown(more)
+        rest = still_open()
+
+    # Last, what is still apart meets across components only, by the small and then a wide sketch, once
+    # for all band keys that a pair shares.
+    sets = _sets_of(rest.select("node"), classes, df, key, text, size, wide=True)
+    about = classes.select("node", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(WORDS)]).join(sets.select("node", "wide"), "node")
+    rest = materialize(rest.join(about, "node"))
+    left = rest.select("band", *[F.col(c).alias(f"l_{c}") for c in rest.columns if c != "band"])
+    right = rest.select("band", *[F.col(c).alias(f"r_{c}") for c in rest.columns if c != "band"])
+    small = estimate([F.col(f"l_s{i}") for i in range(WORDS)], [F.col(f"r_s{i}") for i in range(WORDS)]) >= SKETCH_FLOOR
+    apart = F.aggregate(F.zip_with("l_wide", "r_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    first_shared = F.get(F.filter(F.zip_with("l_bands", "r_bands", lambda x, y: F.when(x == y, x)), lambda z: z.isNotNull()), F.lit(0))
+    meets = (left["band"] == right["band"]) & (F.col("l_comp") < F.col("r_comp")) & small & (apart <= int(WIDE * (1 - WIDE_FLOOR) / 2)) & (first_shared == left["band"])
+    across = materialize(left.join(right, meets).select(F.col("l_node").alias("a"), F.col("r_node").alias("b")))
+    if not across.isEmpty():
+        more = materialize(_confirm(across, sets, percent))
+        if not more.isEmpty():
+            found = grown(more)
 
     named = classes.select("node", "least").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = materialize(named)
