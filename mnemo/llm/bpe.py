@@ -77,8 +77,10 @@ def boundaries(pattern: regex.Pattern, text: str) -> list[int]:
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", chunk_chars: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
     """Append ``out`` (array<int>): the token ids of ``text`` under the rank file at ``path``.
 
-    ``path`` must be readable on every executor (it belongs to an installed package).
+    ``path`` must be readable on every executor (it belongs to an installed package). An input column
+    named ``out`` is replaced.
     """
+    df = df.drop(out)
     is_long = F.coalesce(F.length(text), F.lit(0)) > chunk_chars
     fields, names = list(df.schema.fields), df.columns
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
@@ -161,7 +163,8 @@ def join_chunks(chunks: list[tuple[list[int], list[int], list[int]]]) -> list[in
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Append ``out`` (binary): the raw bytes of the tokens, one after another; null for null."""
+    """Append ``out`` (binary, replacing one of that name): the raw bytes of the tokens, one after another; null for null."""
+    df = df.drop(out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

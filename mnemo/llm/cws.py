@@ -51,10 +51,10 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str, samples: int) -> D
     """
     words = F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
     rows = rows.select(*keys, F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("__h"))
-    firsts = F.expr("CASE WHEN size(__h) > 0 THEN filter(sequence(0, size(__h) - 1), i -> i = 0 OR __h[i] <> __h[i - 1]) ELSE cast(array() AS array<int>) END")
+    firsts = F.expr("filter(sequence(0, greatest(size(__h) - 1, 0)), i -> i < size(__h) AND (i = 0 OR get(__h, i) <> get(__h, i - 1)))")
     rows = rows.select(*keys, "__h", firsts.alias("__f"))
     terms = rows.select(*keys, "__h", "__f", F.posexplode_outer("__f").alias("__i", "__s"))
-    terms = terms.select(*keys, F.expr("__h[__s]").alias("__w"), F.expr("ln(cast(coalesce(get(__f, __i + 1), size(__h)) - __s AS double))").alias("__l"))
+    terms = terms.select(*keys, F.expr("get(__h, __s)").alias("__w"), F.expr("ln(cast(coalesce(get(__f, __i + 1), size(__h)) - __s AS double))").alias("__l"))
     slots = [F.min(slot(F.col("__w"), F.col("__l"), k)).alias(f"__m{k}") for k in range(samples)]
     found = terms.groupBy(*keys).agg(*slots)
     low = [F.col(f"__m{k}").bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)).cast("int") for k in range(samples)]

@@ -229,7 +229,8 @@ def templates(pages: DataFrame, url: str, page: str, min_pages: int = 5, share:
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text", min_pages: int = 5, share: float = 0.5) -> DataFrame:
-    """Append ``out``: the main text of each page."""
+    """Append ``out`` (replacing a column of that name): the main text of each page."""
+    pages = pages.drop(out)
     own = "__template"
     lists = templates(pages, url, page, min_pages, share).select(F.col("host").alias("__host"), F.col("template").alias(own))
     schema = T.StructType([*pages.schema.fields, T.StructField(out, T.StringType())])

@@ -138,15 +138,20 @@ class Profiles:
         return self.names[best], float(1 - cost[best] / (self.profile * len(own)))
 
 
-def predict(df: DataFrame, lists: list[tuple[str, list[str]]], text: str = "text", profile: int = 400) -> DataFrame:
-    """Append lang_pred and score (1: the text's list is the profile, 0: nothing in common)."""
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(df: DataFrame, lists: list[tuple[str, list[str]]], text: str = "text", profile: int = 400, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Append lang_pred and score (1: the text's list is the profile, 0: nothing in common).
+
+    Input columns with these names are replaced.
+    """
+    df = df.drop(*out)
+    names = [*df.columns, *out]
+    schema = T.StructType([*df.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(lists, profile)
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column(text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=names)
 
     return df.mapInArrow(run, schema)
 

@@ -164,13 +164,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if torn.isEmpty():
         return records.select(*columns)
     # A version line inside the payload: gather the cuts from the record's start to its end.
-    spans = torn.select(F.col("file").alias("f"), F.col("off").alias("lo"), "next", "head", "http")
-    inside = found.join(spans, (F.col("file") == F.col("f")) & (F.col("off") >= F.col("lo")) & (F.col("off") < F.col("next")))
-    inside = inside.select("file", "at", "off", spans["lo"], spans["next"], spans["head"], spans["http"])
+    spans = torn.select(F.col("file").alias("f"), F.col("off").alias("lo"), F.col("next").alias("hi"), F.col("head").alias("skip"), F.col("http").alias("more"))
+    inside = found.select("file", "at", "off").join(spans, (F.col("file") == F.col("f")) & (F.col("off") >= F.col("lo")) & (F.col("off") < F.col("hi"))).drop("f")
     parts = _cuts(spark, path).select("file", "at", "cut").join(inside, ["file", "at"])
-    whole = parts.groupBy("file", "lo", "next", "head", "http").agg(F.array_sort(F.collect_list(F.struct("off", "cut"))).alias("cuts"))
+    whole = parts.groupBy("file", "lo", "hi", "skip", "more").agg(F.array_sort(F.collect_list(F.struct("off", "cut"))).alias("cuts"))
     joined = F.expr(f"array_join(transform(cuts, x -> cast(x.cut AS string)), '{MAGIC}')").cast("binary")
-    size = F.col("next") - F.col("lo") - len(MAGIC) - F.col("head") - len(END) - F.col("http")
-    body = whole.select("file", F.col("lo").alias("off"), size.alias("bytes"), F.substring(joined, F.col("head") + F.col("http") + 1, size).alias("body"))
+    size = F.col("hi") - F.col("lo") - len(MAGIC) - F.col("skip") - len(END) - F.col("more")
+    body = whole.select("file", F.col("lo").alias("off"), size.alias("bytes"), F.substring(joined, (F.col("skip") + F.col("more") + 1).cast("int"), size.cast("int")).alias("body"))
     mended = body.select("file", "off", F.col("bytes").alias("pb"), digest(F.col("body")).alias("pd"))
     return records.join(mended, ["file", "off"], "left").select(*columns[:-2], F.coalesce("payload_bytes", "pb").alias("payload_bytes"), F.coalesce("payload_digest", "pd").alias("payload_digest"))
