@@ -75,8 +75,8 @@ def op8_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     part = langid.fold("doc_id", 5)
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = zquality.train(docs.filter(part != 0).join(labels, "doc_id"), "text", "quality", "doc_id")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").filter(part != 0)
+    model = zquality.train(docs, labels, "doc_id", "text", "quality")
     held = docs.withColumn("held_out", F.coalesce(part == 0, F.lit(False)))
     return zquality.score(held, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

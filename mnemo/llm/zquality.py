@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._io import materialize
+
 
 @dataclass(frozen=True)
 class Model:
@@ -73,14 +75,17 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return at, np.maximum.accumulate(p)
 
 
-def train(rows: DataFrame, text: str, label: str, order: str, sample: int = 2000, max_chars: int = 20000, dict_bytes: int = 1 << 16) -> Model:
-    """Fit on rows with text, 0/1 label and an id to choose by."""
-    at = F.pmod(F.xxhash64(F.col(order)), F.lit(1 << 20))
-    known = rows.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1) & (F.length(text) <= max_chars) & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(label).alias("label"), F.col(order).alias("key"), at.alias("at"))
+def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = 2000, max_chars: int = 20000, dict_bytes: int = 1 << 16) -> Model:
+    """Fit on ``docs`` (key, text) that ``labels`` (key, 0/1 label) marks; only sampled labels meet the texts."""
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20))
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), at.alias("at"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = {y: min(1.0, 2 * sample / n) for y, n in counts.items()}
     limit = F.when(F.col("label") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)) * float(1 << 20)
-    got = known.filter(F.col("at") < limit).select("text", "label", "key", "at").toPandas().sort_values(["at", "key", "text"])
+    few = materialize(known.filter(F.col("at") < limit))  # about 4 x sample rows
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(few), "key")
+    texts = texts.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars) & (F.length("text") > 0))
+    got = texts.select("text", "label", "key", "at").toPandas().sort_values(["at", "key", "text"])
     if set(got["label"]) != {0, 1}:
         mean = float(got["label"].mean()) if len(got) else 0.5
         return Model(b"", b"", np.zeros(1), np.full(1, mean))
@@ -102,7 +107,8 @@ def train(rows: DataFrame, text: str, label: str, order: str, sample: int = 2000
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Append size_difference and score (probability of label 1)."""
+    """Append size_difference and score (probability of label 1); input columns with these names are replaced."""
+    df = df.drop("size_difference", "score")
     schema = T.StructType([*df.schema.fields, T.StructField("size_difference", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
