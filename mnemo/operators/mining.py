@@ -142,9 +142,9 @@ def capture(docs: DataFrame, k: int = 12, key: str = "id", text: str = "text", l
 def sections(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(id, pos, heading, key, body): parts of markdown under '## ' headings; what comes before is the preamble."""
     parts = F.split(F.concat(F.lit("\n"), text), r"\n(?=## )")
-    rows = docs.select(F.col(key).alias("id"), F.posexplode(parts).alias("pos", "part")).withColumn("part", F.trim(F.regexp_replace("part", "^\n", "")))
+    rows = docs.select(F.col(key).alias("id"), F.posexplode(parts).alias("pos", "part")).withColumn("part", F.btrim("part", F.lit(" \n\t\r")))
     heading = F.regexp_extract("part", r"^## (.*)", 1)
-    body = F.trim(F.regexp_replace("part", r"^## .*\n?", ""))
+    body = F.btrim(F.regexp_replace("part", r"^## .*\n?", ""), F.lit(" \n\t\r"))
     name = F.when(heading != "", X.slug(heading)).otherwise(F.lit("preamble"))
     return rows.filter("part <> ''").select("id", F.col("pos").cast("bigint").alias("pos"), heading.alias("heading"), name.alias("key"), body.alias("body"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(file, date, pos, heading, key, body) of the sections of every file."""
     from mnemo.operators.mining import sections
 
-    files = spark.read.option("wholetext", True).text(path, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("id"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("id"), F.col("value").alias("text"))
     day = F.regexp_extract("id", r"(\d{4}-\d{2}-\d{2})", 1)
     return sections(files).select(F.col("id").alias("file"), F.when(day != "", day).alias("date"), "pos", "heading", "key", "body")
 
@@ -101,8 +102,6 @@ def with_cached_vectors(rows: DataFrame, cache: DataFrame, text: str = "content"
 
 def embed(rows: DataFrame, embedder, dims: int, text: str = "content") -> DataFrame:
     """Append v (array<float>) from a function of lists of texts; called once per Arrow batch."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([list(map(float, v)) for v in embedder(texts.fillna("").tolist())])
@@ -115,7 +114,6 @@ def decode_vectors(rows: DataFrame, blob: str) -> DataFrame:
     import json
 
     import numpy as np
-    import pandas as pd
 
     def one(b: bytes | None) -> list[float] | None:
         if not b:

@@ -14,10 +14,14 @@ def read_accesses(spark, path: str, files_per_batch: int = 1) -> DataFrame:
     return rows.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), "event_id")
 
 
-def counts(accesses: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
-    """(id, start, n) per window; state is dropped once the watermark has passed it."""
+def counts(accesses: DataFrame, window: str = "1 day", slide: str | None = None, late: str | None = "1 day") -> DataFrame:
+    """(id, start, n) per window; state is dropped once the watermark has passed it.
+
+    ``late`` None keeps the watermark that the stream already has (after ``once``, say).
+    """
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    return accesses.withWatermark("ts", late).groupBy(w.alias("w"), "id").agg(F.count("*").alias("n")).select("id", F.col("w.start").alias("start"), "n")
+    marked = accesses if late is None else accesses.withWatermark("ts", late)
+    return marked.groupBy(w.alias("w"), "id").agg(F.count("*").alias("n")).select("id", F.col("w.start").alias("start"), "n")
 
 
 def sessions(accesses: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
