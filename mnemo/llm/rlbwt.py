@@ -34,6 +34,7 @@ from . import _text as tx
 from ._io import materialize
 
 KMER = 32
+PACK = 7
 SEGMENT = 1 << 20
 POSITION = np.uint64((1 << 22) - 1)
 INVERSE = np.uint64(pow(int(tx.BASE), -1, 1 << 64))
@@ -116,25 +117,43 @@ class RunLengthIndex:
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])) if n_strings else np.zeros(0, np.int64)
         self.sizes = sizes
         n = int((sizes + 1).sum())
-        # Symbols: a separate terminator for each string, below all bytes.
-        text = np.empty(n, np.int64)
-        text[self.starts + sizes] = np.arange(n_strings)
+        # Bytes are 1 to 256, every terminator is 0 but differs from the others by its string.
+        text = np.zeros(n, np.int64)
         body = np.ones(n, bool)
         body[self.starts + sizes] = False
-        text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + n_strings
+        text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
         self.text = text
-        # Suffix ranks by prefix doubling: ranks[d] orders prefixes of 2**d symbols.
-        self.ranks = [np.unique(text, return_inverse=True)[1]]
-        step = 1
-        while n and step < int(sizes.max(initial=0)) + 1 and self.ranks[-1].max() < n - 1:
-            rank = self.ranks[-1]
+        left = np.repeat(self.starts + sizes, sizes + 1) - np.arange(n)  # to the string's terminator
+        # Ranks of the first PACK symbols: one sort of packed integers; what holds a terminator is told apart by its string.
+        padded = np.concatenate((text, np.zeros(PACK, np.int64)))
+        packed = np.zeros(n, np.int64)
+        for i in range(PACK):
+            packed = (packed << 9) | np.where(left >= i, padded[i : n + i], 0)
+        string = np.where(left < PACK, np.repeat(np.arange(1, n_strings + 1), sizes + 1), 0)
+        order = np.argsort(packed, kind="stable")  # equal packs that end stay in the order of their strings
+        p, t = packed[order], string[order]
+        new = np.ones(n, bool)
+        new[1:] = (p[1:] != p[:-1]) | (t[1:] != t[:-1])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new) - 1
+        # Prefix doubling: ranks[d] orders prefixes of PACK * 2**d symbols.
+        self.ranks = [rank]
+        step = PACK
+        while n and step < int(sizes.max(initial=0)) + 1 and rank.max() < n - 1:
             after = np.zeros(n, np.int64)
             after[: n - step] = rank[step:] + 1 if step < n else 0
-            self.ranks.append(np.unique(rank * (n + 1) + after, return_inverse=True)[1])
+            key = rank * (n + 1) + after
+            order = np.argsort(key)
+            k = key[order]
+            new[1:] = k[1:] != k[:-1]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(new) - 1
+            self.ranks.append(rank)
             step *= 2
         order = np.empty(n, np.int64)
         order[self.ranks[-1]] = np.arange(n)
         before = text[order - 1] if n else text
+        before = np.where(before == 0, -np.arange(n), before)  # terminators differ, so each is a run
         heads = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1]))) if n else np.zeros(0, np.int64)
         self.run_symbols = before[heads]
         self.run_lengths = np.diff(np.concatenate((heads, [n])))
@@ -149,13 +168,21 @@ class RunLengthIndex:
         """Length of the common prefix of the suffixes at i and j (terminators differ, so strings bound it)."""
         out = np.zeros(len(i), np.int64)
         i, j = i.copy(), j.copy()
+        live = i != j
+
+        def advance(same: np.ndarray, by: int) -> None:
+            out[same] += by
+            i[same] += by
+            j[same] += by
+
         for d in range(len(self.ranks) - 1, -1, -1):
-            inside = (i < self.n) & (j < self.n) & (i != j)
-            same = np.zeros(len(i), bool)
-            same[inside] = self.ranks[d][i[inside]] == self.ranks[d][j[inside]]
-            out[same] += 1 << d
-            i[same] += 1 << d
-            j[same] += 1 << d
+            at = np.flatnonzero(live & (i < self.n) & (j < self.n))
+            advance(at[self.ranks[d][i[at]] == self.ranks[d][j[at]]], PACK << d)
+        at = np.flatnonzero(live & (i < self.n) & (j < self.n))
+        for _ in range(PACK):
+            at = at[(i[at] < self.n) & (j[at] < self.n)]
+            at = at[(self.text[i[at]] == self.text[j[at]]) & (self.text[i[at]] > 0)]
+            advance(at, 1)
         return out
 
     def statistics(self) -> np.ndarray:
@@ -180,7 +207,7 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), starts[np.concatenate((cut, [len(starts) - 1]))].tolist(), strict=True))
 
 
-def repeated_spans(df: DataFrame, text: str = "text", length: int = 200, max_variants: int = 8192, block_bytes: int = 1 << 20) -> DataFrame:
+def repeated_spans(df: DataFrame, text: str = "text", length: int = 200, max_variants: int = 8192, block_bytes: int = 1 << 18) -> DataFrame:
     """(t1, t2, spans) of every distinct text that holds repeats; spans: array of (a, e), unmerged; t1, t2: text hashes."""
     rows = df.select(F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"), F.col(text).alias("text"))
     found = materialize(emit_anchors(rows, ["t1", "t2"], "text", length))
@@ -260,13 +287,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(df: DataFrame, text: str = "text", length: int = 200, max_variants: int = 8192, as_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", length: int = 200, max_variants: int = 8192, as_text: bool = False, out: tuple[str, str, str] = ("n_bytes", "removed", "kept")) -> DataFrame:
     """Append n_bytes, removed (array of byte ranges, merged) and kept (the remaining bytes).
 
-    kept is binary, or with ``as_text`` a string without the characters that a range cut apart.
+    kept is binary, or with ``as_text`` a string without the characters that a range cut apart. Input
+    columns with these names are replaced.
     """
+    df = df.drop(*out)
     spans = materialize(repeated_spans(df, text, length, max_variants))
-    schema = T.StructType([*df.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(out[0], T.LongType()), T.StructField(out[1], T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField(out[2], T.StringType() if as_text else T.BinaryType())])
     names = df.columns
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -285,7 +314,7 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = 200, max_var
                     gone.append([{"start": a, "end": e} for a, e in ranges])
                     rest.append(raw[at:])
                     kept.append("".join(x.decode("utf-8", "ignore") for x in rest) if as_text else b"".join(rest))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.diff(offsets)), pa.array(gone, span), pa.array(kept, pa.string() if as_text else pa.binary())], names=[*names, "n_bytes", "removed", "kept"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.diff(offsets)), pa.array(gone, span), pa.array(kept, pa.string() if as_text else pa.binary())], names=[*names, *out])
 
     joined = df.withColumn("__t1", F.xxhash64(text)).withColumn("__t2", F.hash(text)).join(spans.toDF("__t1", "__t2", "__spans"), ["__t1", "__t2"], "left")
     return joined.select(*names, "__spans").mapInArrow(run, schema)
