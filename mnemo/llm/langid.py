@@ -73,7 +73,7 @@ def train(rows: DataFrame, lang: str, text: str, order: Column, per_language: in
     """[(language, n-grams in order)] from rows with a non-null language."""
     sample = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text, F.pmod(order, F.lit(1 << 20)).alias("__at"))
     sizes = sample.groupBy(lang).agg(F.count("*").alias("__n"))
-    sample = sample.join(sizes, lang).filter(F.col("__at") * F.col("__n") < F.lit(per_language) * (1 << 20)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sample = sample.join(sizes, lang).filter(F.col("__at") * F.col("__n") < F.lit(per_language * (1 << 20)).cast("bigint")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
