@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._io import materialize
 
-BUCKETS = 64
+BUCKETS = 256
 END = np.uint64(0x5EED0E2DE2D0E2D1)
 SMOOTH = 0.1
 
@@ -44,7 +44,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     hashes[at] = tx.word_hashes(data, starts, ends)
     bucket = np.full(total, -1, np.int64)
     before = np.where(ends - 2 >= starts, data[ends - 2] if len(ends) else 0, 0).astype(np.int64)
-    bucket[at] = (data[ends - 1].astype(np.int64) * 31 + before * 7) % BUCKETS
+    suffix = (data[ends - 1].astype(np.int64) if len(ends) else before) * 256 + before
+    bucket[at] = (tx.mix(suffix.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
     rows = np.repeat(np.arange(n_rows), np.bincount(row, minlength=n_rows) + 1)
     return hashes, bucket, rows
 
@@ -150,7 +151,7 @@ def contexts(classes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return c1, np.where(first, 0, c2)
 
 
-def fit(classes: np.ndarray, rows: np.ndarray, class_counts: np.ndarray, width: int = 32, noise: int = 64, epochs: int = 3, batch: int = 512, rate: float = 0.08, seed: int = 5) -> Model:
+def fit(classes: np.ndarray, rows: np.ndarray, class_counts: np.ndarray, width: int = 32, noise: int = 64, epochs: int = 3, batch: int = 512, rate: float = 0.2, seed: int = 5) -> Model:
     """Noise-contrastive estimation against the class frequencies, by Adagrad."""
     rng = np.random.default_rng(seed)
     k = len(class_counts)
@@ -190,7 +191,7 @@ def fit(classes: np.ndarray, rows: np.ndarray, class_counts: np.ndarray, width:
     return m
 
 
-def score(docs: DataFrame, key: str, text: str, train: DataFrame, shortlist: int = 447, frequent: int = 1 << 16, sample_docs: int = 1500) -> tuple[DataFrame, Vocabulary]:
+def score(docs: DataFrame, key: str, text: str, train: DataFrame, shortlist: int = 767, frequent: int = 1 << 16, sample_docs: int = 3000) -> tuple[DataFrame, Vocabulary]:
     """((row, id, n_tokens, n_known, base_score, score) of every row of ``docs``, vocabulary of ``train``)."""
     spark = docs.sparkSession
     counts = materialize(word_counts(train, text))
@@ -205,7 +206,7 @@ def score(docs: DataFrame, key: str, text: str, train: DataFrame, shortlist: int
                 yield pa.RecordBatch.from_arrays([part.column("key"), tx.list_array(classes.astype(np.int32), np.bincount(rows, minlength=part.num_rows))], names=["key", "classes"])
 
     n_train = train.count()
-    few = train.select(F.xxhash64(key).alias("key"), text).filter(F.pmod("key", F.lit(1 << 20)) * F.lit(n_train) < F.lit(sample_docs) * (1 << 20))
+    few = train.select(F.xxhash64(key).alias("key"), text).filter(F.pmod("key", F.lit(1 << 20)) * F.lit(n_train).cast("bigint") < F.lit(sample_docs * (1 << 20)).cast("bigint"))
     got = few.mapInArrow(classify, "key bigint, classes array<int>").toPandas().sort_values("key")  # about ``sample_docs`` rows
     lists = [np.asarray(x, np.int64) for x in got["classes"]]
     flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
