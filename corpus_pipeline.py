@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language can be told; those without a letter go."""
     part = langid.fold("doc_id", 5)
     lists = langid.train(docs.filter(part != 0), "lang", "text", F.xxhash64("doc_id"))
-    found = langid.predict(docs, lists)
-    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    found = langid.predict(docs, lists, out=("__lang_pred", "__lang_score"))
+    return found.filter(F.col("__lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand elsewhere too; n_chars follows the text."""
-    found = rlbwt.remove_repeats(docs, as_text=True)
-    changed = {"text": F.when(F.col("text").isNotNull(), F.col("kept")), "n_chars": F.when(F.size("removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
+    found = rlbwt.remove_repeats(docs, as_text=True, out=("__bytes", "__removed", "__kept"))
+    changed = {"text": F.when(F.col("text").isNotNull(), F.col("__kept")), "n_chars": F.when(F.size("__removed") > 0, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))}
     return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
