@@ -41,11 +41,13 @@ def top(scored: DataFrame, k: int, by: str = "score", group: str = "qid", tie: s
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "id", text: str = "content", qkey: str = "qid", qtext: str = "query") -> DataFrame:
     """(qid, id, score, rank): the k best documents of each query."""
-    posts = postings(docs, key, text)
     wanted = terms_of(queries, qkey, qtext)
-    lengths = posts.groupBy("id").agg(F.sum("tf").alias("len"))
+    tokens = docs.select(F.col(key).alias("id"), X.words(F.coalesce(text, F.lit(""))).alias("words")).filter(F.size("words") > 0)
+    lengths = tokens.select("id", F.size("words").cast("bigint").alias("len"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
-    hits = posts.join(wanted.select("term").distinct(), "term", "left_semi")
+    # Only words that some query asks for are counted and shuffled.
+    asked = tokens.select("id", F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = asked.groupBy("term", "id").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     rows = hits.join(df, "term").join(wanted, "term").join(lengths, "id").crossJoin(F.broadcast(totals))
     part = S.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("len"), F.col("mean"))

@@ -34,7 +34,7 @@ MEM = {
     "valid_to_hours": "CASE WHEN doc_id % 16 = 0 THEN doc_id % 700 END",
     "lang": "lang",
     "source": "source",
-    "source_user": "'user' || cast(doc_id % 6 AS VARCHAR)",
+    "source_user": "'user' || cast(doc_id % 5 AS VARCHAR)",
     "source_kind": "CASE doc_id % 4 WHEN 0 THEN 'stated' WHEN 1 THEN 'observed' WHEN 2 THEN 'self' ELSE 'peer' END",
 }
 
