@@ -34,7 +34,16 @@ def written(df: DataFrame) -> DataFrame:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     path = f"{at.rstrip('/')}/graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a written table that nothing will read again."""
+    if path := getattr(df, "_written_to", None):
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def policy(spark: SparkSession) -> DataFrame:
@@ -88,12 +97,16 @@ def pagerank(seeds: DataFrame, edges: DataFrame, rounds: int = 20, alpha: float
     total = seeds.agg(F.sum("mass")).first()[0]
     start = seeds.select("id", (F.col("mass") / total).alias("mass"))
     home = start.select("id", (F.col("mass") * (1 - alpha)).alias("mass"))
-    rank = start
+    rank, cut = start, None
     for i in range(rounds):
         moved = rank.join(walk, rank["id"] == walk["a"]).select(F.col("b").alias("id"), (F.col("mass") * F.col("p") * alpha).alias("mass"))
         rank = moved.union(home).groupBy("id").agg(F.sum("mass").alias("mass"))
-        if (i + 1) % cut_every == 0:
-            rank = written(rank)
+        if (i + 1) % cut_every == 0 or i + 1 == rounds:
+            last, cut = cut, written(rank)
+            rank = cut
+            if last is not None:
+                discard(last)
+    discard(walk)
     return rank
 
 
@@ -106,9 +119,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         step = label.join(far, "id").select("id", F.least("comp", "m").alias("comp"))
         jump = step.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
         after = written(step.join(jump, "comp").select("id", F.least("comp", "root").alias("comp")))
-        moved = after.join(label.withColumnRenamed("comp", "old"), "id").filter("comp <> old").isEmpty()
+        settled = after.join(label.withColumnRenamed("comp", "old"), "id").filter("comp <> old").isEmpty()
+        discard(label)
         label = after
-        if moved:
+        if settled:
+            discard(both)
             return label
     raise RuntimeError("components did not settle")
 

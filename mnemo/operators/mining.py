@@ -35,9 +35,9 @@ def topics(docs: DataFrame, k: int, key: str = "id", text: str = "content", comm
     tf = flat.groupBy("id", "term").agg(F.count("*").alias("tf"))
     length = tf.groupBy("id").agg(F.sum("tf").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = F.broadcast(docs.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")))  # one row
-    rows = tf.join(df, "term").join(length, "id").crossJoin(n)
-    scored = rows.select("id", "term", F.round(S.tfidf(F.col("tf"), F.col("len"), F.col("df"), F.col("n")), 6).alias("score"))
+    n = docs.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
+    rows = tf.join(df, "term").join(length, "id")
+    scored = rows.select("id", "term", F.round(S.tfidf(F.col("tf"), F.col("len"), F.col("df"), n), 6).alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 

@@ -44,13 +44,13 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "id", te
     wanted = terms_of(queries, qkey, qtext)
     tokens = docs.select(F.col(key).alias("id"), X.words(F.coalesce(text, F.lit(""))).alias("words")).filter(F.size("words") > 0)
     lengths = tokens.select("id", F.size("words").cast("bigint").alias("len"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
+    n, mean = lengths.agg(F.count("*")).scalar(), lengths.agg(F.avg("len")).scalar()
     # Only words that some query asks for are counted and shuffled.
     asked = tokens.select("id", F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     hits = asked.groupBy("term", "id").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").join(wanted, "term").join(lengths, "id").crossJoin(F.broadcast(totals))
-    part = S.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("len"), F.col("mean"))
+    rows = hits.join(df, "term").join(wanted, "term").join(lengths, "id")
+    part = S.bm25(F.col("tf"), F.col("df"), n, F.col("len"), mean)
     return top(rows.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score")), k)
 
 
