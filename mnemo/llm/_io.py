@@ -1,4 +1,4 @@
-"""Places that all executors share."""
+"""Places that all executors share, and tables in them that cut lineage."""
 
 from __future__ import annotations
 
@@ -20,4 +20,19 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, and let Spark drop the shuffles behind them."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            df._written_to = None
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import materialize
+from ._io import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialize(edges.filter("a <> b").distinct())
     before = None
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges)))
+        old, edges = edges, materialize(_small_star(_large_star(edges)))
+        discard(old)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before or state[0] == 0:
             break
@@ -38,4 +39,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return ends.union(edges.select("b", "b")).distinct()
+    out = materialize(ends.union(edges.select("b", "b")).distinct())
+    discard(edges)
+    return out

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._io import materialize
+from ._io import discard, materialize
 from .graph import components
 
 BANDS, ROWS, BITS = 32, 4, 4
@@ -161,7 +161,9 @@ def whole_sets(df: DataFrame, key: str, text: str, size: int, need: DataFrame, w
 
 def _sets_of(nodes: DataFrame, classes: DataFrame, df: DataFrame, key: str, text: str, size: int, wide: bool = False) -> DataFrame:
     need = materialize(classes.select("node", "least").join(nodes.distinct(), "node"))
-    return materialize(whole_sets(df, key, text, size, need, wide))
+    out = materialize(whole_sets(df, key, text, size, need, wide))
+    discard(need)
+    return out
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,11 +193,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         near = pairs.join(_sketch_columns(classes, "b"), "b").join(_sketch_columns(classes, "a"), "a").filter(_near("a", "b")).select("a", "b")
         near = materialize(near)
         sets = _sets_of(near.select(F.col("a").alias("node")).union(near.select("b")), classes, df, key, text, size)
-        return materialize(_confirm(near, sets, percent))
+        out = materialize(_confirm(near, sets, percent))
+        discard(near, sets)
+        return out
 
     # First each class meets one other only: the least centre of all its band keys.
     first = members.filter("node <> centre").groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b"))
-    found = components(confirmed(first))
+    links = confirmed(first)
+    found = components(links)
+    discard(links)
 
     def still_open() -> DataFrame:
         """(band, node, comp) of the band keys that hold several components."""
@@ -211,14 +217,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     centres = rest.groupBy("band").agg(F.min(F.struct("node", "comp")).alias("c")).select("band", F.col("c.node").alias("a"), F.col("c.comp").alias("ca"))
     more = confirmed(rest.join(centres, "band").filter("comp <> ca").select("a", F.col("node").alias("b")).distinct())
     if not more.isEmpty():
-        found = grown(more)
+        old, found = (found, rest), grown(more)
         rest = still_open()
+        discard(*old)
+    discard(more)
 
     # Last, what is still apart meets across components only, by the small and then a wide sketch, once
     # for all band keys that a pair shares.
     sets = _sets_of(rest.select("node"), classes, df, key, text, size, wide=True)
     about = classes.select("node", "bands", *[F.col("sketch")[i].alias(f"s{i}") for i in range(WORDS)]).join(sets.select("node", "wide"), "node")
-    rest = materialize(rest.join(about, "node"))
+    old, rest = rest, materialize(rest.join(about, "node"))
+    discard(old)
     left = rest.select("band", *[F.col(c).alias(f"l_{c}") for c in rest.columns if c != "band"])
     right = rest.select("band", *[F.col(c).alias(f"r_{c}") for c in rest.columns if c != "band"])
     small = estimate([F.col(f"l_s{i}") for i in range(WORDS)], [F.col(f"r_s{i}") for i in range(WORDS)]) >= SKETCH_FLOOR
@@ -229,21 +238,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     if not across.isEmpty():
         more = materialize(_confirm(across, sets, percent))
         if not more.isEmpty():
-            found = grown(more)
+            old, found = found, grown(more)
+            discard(old)
+        discard(more)
+    discard(across, sets, rest, members)
 
     named = classes.select("node", "least").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = materialize(named)
     ids = named.groupBy("comp").agg(F.min("least").alias("component"))
     ids = named.join(ids, "comp").select("node", "component")
-    return sig.select("id", "text_hash", "n", "node").join(ids, "node", "left").select("id", "text_hash", "n", "node", F.coalesce("component", "id").alias("component"))
+    out = sig.select("id", "text_hash", "n", "node").join(ids, "node", "left").select("id", "text_hash", "n", "node", F.coalesce("component", "id").alias("component"))
+    out = materialize(out)
+    discard(sig, classes, found, named)
+    return out
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``df`` that are the least of their component, once each; rows with a null id stay."""
-    found = materialize(near_duplicates(df, key, text, size, percent))
+    found = near_duplicates(df, key, text, size, percent)
     gone = materialize(found.filter("id <> component").select(F.col("id").alias(key), F.col("text_hash").alias("__hash")).distinct())
     kept = df.withColumn("__hash", F.xxhash64(text)).join(gone, [key, "__hash"], "left_anti")
     again = found.filter("id = component AND n > 0").groupBy("id", "text_hash").agg(F.count("*").alias("c")).filter("c > 1")
     if not again.isEmpty():
         kept = kept.dropDuplicates([key, "__hash"])
+    discard(found)
     return kept.select(*df.columns)

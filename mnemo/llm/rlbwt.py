@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as tx
-from ._io import materialize
+from ._io import discard, materialize
 
 KMER = 32
 PACK = 7
@@ -211,8 +211,10 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = 200, max_var
     """(t1, t2, spans) of every distinct text that holds repeats; spans: array of (a, e), unmerged; t1, t2: text hashes."""
     rows = df.select(F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"), F.col(text).alias("text"))
     found = materialize(emit_anchors(rows, ["t1", "t2"], "text", length))
-    often = found.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    found = materialize(found.join(often, "key"))
+    # Written first: a join with a plain table on both sides can be broadcast by size, and its hot keys split.
+    often = materialize(found.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
+    first, found = found, materialize(found.join(often, "key"))
+    discard(first, often)
     groups = materialize(found.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "a", "size")).alias("at")))
     whole = found.join(groups.filter("c > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("t1", "t2", "a", (F.col("a") + F.col("size")).alias("e")).distinct()
 
@@ -234,8 +236,9 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = 200, max_var
                 )
 
     texts = rows.join(lists, ["t1", "t2"]).select("t1", "t2", "text", "list")
-    contexts = materialize(texts.mapInArrow(cut, "key bigint, ctx bigint, c bigint, v bigint, t1 bigint, t2 int, a bigint, bytes binary"))
-    contexts = contexts.dropDuplicates(["key", "ctx"])
+    written = materialize(texts.mapInArrow(cut, "key bigint, ctx bigint, c bigint, v bigint, t1 bigint, t2 int, a bigint, bytes binary"))
+    contexts = written.dropDuplicates(["key", "ctx"])
+    discard(wanted)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; a block ends at a change of key once it is full."""
@@ -274,7 +277,9 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = 200, max_var
     twice = hits.groupBy("w").agg(F.count("*").alias("m")).filter("m > 1").select("w")
     hits = hits.filter("c = 1").join(twice, "w", "left_semi").select("t1", "t2", "a", (F.col("a") + length).alias("e"))
     spans = whole.union(parts).union(hits)
-    return spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+    out = materialize(spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "e")).alias("spans")))
+    discard(found, groups, written)
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -294,7 +299,7 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = 200, max_var
     columns with these names are replaced.
     """
     df = df.drop(*out)
-    spans = materialize(repeated_spans(df, text, length, max_variants))
+    spans = repeated_spans(df, text, length, max_variants)
     schema = T.StructType([*df.schema.fields, T.StructField(out[0], T.LongType()), T.StructField(out[1], T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField(out[2], T.StringType() if as_text else T.BinaryType())])
     names = df.columns
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

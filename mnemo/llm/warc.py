@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._io import materialize
+from ._io import discard, materialize
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -61,6 +61,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
     rows.select(F.concat(fields, block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    discard(same)
 
 
 _HEAD = re.compile(rb"((?:[!-9;-~]+:[^\r\n]*\r\n)+)\r\n")
@@ -144,13 +145,16 @@ def reachable(found: DataFrame, rounds: int = 48) -> DataFrame:
     for _ in range(rounds):
         step = reached.join(jump, ["file", "off"]).select("file", F.col("next").alias("off"))
         known = jump.select("file", "off")
-        reached = materialize(reached.union(step.join(known, ["file", "off"], "left_semi")).distinct())
+        old, reached = reached, materialize(reached.union(step.join(known, ["file", "off"], "left_semi")).distinct())
+        discard(old)
         grown = reached.count()
         if grown == n:
             break
         n = grown
         after = jump.select("file", F.col("off").alias("next"), F.col("next").alias("then"))
-        jump = materialize(jump.join(after, ["file", "next"], "left").select("file", "off", F.coalesce("then", "next").alias("next")))
+        old, jump = jump, materialize(jump.join(after, ["file", "next"], "left").select("file", "off", F.coalesce("then", "next").alias("next")))
+        discard(old)
+    discard(jump)
     return reached
 
 
@@ -162,6 +166,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     columns = ["file", "off", "id", "kind", "refers", "payload_bytes", "payload_digest"]
     torn = records.filter("payload_bytes IS NULL")
     if torn.isEmpty():
+        discard(found)
         return records.select(*columns)
     # A version line inside the payload: gather the cuts from the record's start to its end.
     spans = torn.select(F.col("file").alias("f"), F.col("off").alias("lo"), F.col("next").alias("hi"), F.col("head").alias("skip"), F.col("http").alias("more"))

@@ -129,8 +129,5 @@ def contamination(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", it
     hits = materialize(hits)
     covered = hits.select("row", "start", "size").distinct().select("row", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("word")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     named = hits.select("row", F.col("item").cast("string").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return (
-        rows.join(covered, "row", "left")
-        .join(named, "row", "left")
-        .select("id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    )
+    out = rows.join(covered, "row", "left").join(named, "row", "left")
+    return out.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
