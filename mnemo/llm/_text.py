@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 #: ASCII letters to lower case, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -48,6 +48,7 @@ def pieces(batch: pa.RecordBatch, name: str, limit: int = PIECE_BYTES) -> Iterat
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

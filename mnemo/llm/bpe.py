@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ._text import list_array
 
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 15
 
 
 @lru_cache(maxsize=2)
@@ -88,8 +88,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 ids = [enc.encode(t) if t else [] for t in part.column(text).to_pylist()]
                 flat = np.fromiter((x for y in ids for x in y), np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, list_array(flat, np.fromiter(map(len, ids), np.int64, len(ids)))], names=[*part.schema.names, out])

@@ -150,8 +150,10 @@ def predict(df: DataFrame, lists: list[tuple[str, list[str]]], text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(lists, profile)
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=names)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [model.predict(t.as_py()) for t in part.column(text)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=names)
 
     return df.mapInArrow(run, schema)
 

@@ -55,7 +55,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, text, 4 * tx.PIECE_BYTES):
+            for part in tx.pieces(batch, text, 16 * tx.PIECE_BYTES):
                 hashes, bucket, _ = tokens(*tx.column_bytes(part.column(text)))
                 word, at, n = np.unique(hashes, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bucket[at].astype(np.int32)), pa.array(n)], names=["word", "bucket", "c"])
@@ -216,7 +216,7 @@ def score(docs: DataFrame, key: str, text: str, train: DataFrame, shortlist: int
         vocab, m = shared.value, model.value
         first_bucket = vocab.n_classes - BUCKETS
         for batch in batches:
-            for part in tx.pieces(batch, text, 4 * tx.PIECE_BYTES):
+            for part in tx.pieces(batch, text, 16 * tx.PIECE_BYTES):
                 n = part.num_rows
                 hashes, bucket, rows = tokens(*tx.column_bytes(part.column(text)))
                 count, classes = vocab.look_up(hashes, bucket)

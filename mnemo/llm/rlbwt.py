@@ -35,7 +35,7 @@ from ._io import discard, materialize
 
 KMER = 32
 PACK = 7
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 POSITION = np.uint64((1 << 22) - 1)
 INVERSE = np.uint64(pow(int(tx.BASE), -1, 1 << 64))
 
