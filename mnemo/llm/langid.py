@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._io import discard, materialize
+
 MAX_N = 3
 UNDETERMINED = "und"
 
@@ -72,7 +74,8 @@ def spelt(code: int, base: int, alphabet: str) -> str:
 def train(rows: DataFrame, lang: str, text: str, order: Column, per_language: int = 2000, profile: int = 400) -> list[tuple[str, list[str]]]:
     """[(language, n-grams in order)] from rows with a non-null language."""
     sample = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text, F.pmod(order, F.lit(1 << 20)).alias("__at"))
-    sizes = sample.groupBy(lang).agg(F.count("*").alias("__n"))
+    # Written first, so that Spark knows it to be small and texts are not dealt out by their few languages.
+    sizes = materialize(sample.groupBy(lang).agg(F.count("*").alias("__n")))
     sample = sample.join(sizes, lang).filter(F.col("__at") * F.col("__n") < F.lit(per_language * (1 << 20)).cast("bigint")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +98,7 @@ def train(rows: DataFrame, lang: str, text: str, order: Column, per_language: in
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = total.withColumn("rank", rank).filter(F.col("rank") <= profile)  # languages x profile rows
     lists = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "gram"))).alias("list")).orderBy("lang").collect()
+    discard(sizes)
     return [(r["lang"], [x["gram"] for x in r["list"]]) for r in lists]
 
 
