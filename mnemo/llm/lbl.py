@@ -3,8 +3,11 @@
 Counts of all words come from all training rows by grouped sums. The ``shortlist`` most frequent words
 are classes of their own, all others share ``BUCKETS`` classes by their last two bytes. The model
 predicts the next class from the embeddings of the last two, each through a matrix of its position;
-within a bucket words follow the smoothed unigram distribution. Its weights are fitted on the driver
-from at most about ``sample_docs`` training rows (a parameter), starting from the class frequencies.
+within a bucket words follow the smoothed unigram distribution. Its weights are fitted on all training
+rows: these are dealt by key to shards of about ``SHARD`` tokens, every task takes an epoch over its shard
+from the same weights, and the results are averaged by tokens (in two steps, so that the driver gathers
+the square root of the number of shards) before the next epoch. The first weights are random, with the
+class frequencies as bias.
 
 Scoring normalises over all classes with batched matrix products, once per distinct context in a piece
 of text. Counts of the ``frequent`` most frequent words travel with the tasks (a fixed number of rows);
@@ -31,6 +34,9 @@ from ._io import materialize
 BUCKETS = 256
 END = np.uint64(0x5EED0E2DE2D0E2D1)
 SMOOTH = 0.1
+#: Mean tokens of a shard: what one task learns from between two averages.
+SHARD = 1 << 20
+WEIGHTS = ["context", "target", "near", "far", "bias"]
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,47 +157,125 @@ def contexts(classes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return c1, np.where(first, 0, c2)
 
 
-def fit(classes: np.ndarray, rows: np.ndarray, class_counts: np.ndarray, width: int = 32, noise: int = 64, epochs: int = 3, batch: int = 512, rate: float = 0.2, seed: int = 5) -> Model:
-    """Noise-contrastive estimation against the class frequencies, by Adagrad."""
+def start(class_counts: np.ndarray, width: int = 32, seed: int = 5) -> tuple[Model, dict[str, np.ndarray]]:
+    """Random weights with the class frequencies as bias, and Adagrad's sums of squares."""
     rng = np.random.default_rng(seed)
     k = len(class_counts)
-    p = (class_counts + 0.5) / (class_counts + 0.5).sum()
-    log_p = np.log(p).astype(np.float32)
     draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-    m = Model(draw(k, width), draw(k, width), np.eye(width, dtype=np.float32), np.eye(width, dtype=np.float32) * np.float32(0.5), log_p.copy())
-    names = ["context", "target", "near", "far", "bias"]
-    seen = {x: np.full_like(getattr(m, x), 1e-2) for x in names}
-    c1, c2 = contexts(classes, rows)
+    p = (class_counts + 0.5) / (class_counts + 0.5).sum()
+    m = Model(draw(k, width), draw(k, width), np.eye(width, dtype=np.float32), np.eye(width, dtype=np.float32) * np.float32(0.5), np.log(p).astype(np.float32))
+    return m, {x: np.full_like(getattr(m, x), 1e-2) for x in WEIGHTS}
+
+
+def learn(m: Model, seen: dict[str, np.ndarray], classes: np.ndarray, rows: np.ndarray, class_counts: np.ndarray, rng: np.random.Generator, noise: int = 64, batch: int = 512, rate: float = 0.2) -> None:
+    """An epoch of noise-contrastive estimation against the class frequencies, by Adagrad, in place."""
+    k = len(class_counts)
+    p = (class_counts + 0.5) / (class_counts + 0.5).sum()
+    floor = (np.log(p) + np.log(noise)).astype(np.float32)
+    c1, c2 = (x.astype(np.int16 if k < 1 << 15 else np.int64) for x in contexts(classes, rows))
+    classes = classes.astype(c1.dtype)
     cumulative = np.cumsum(p)
+
+    def sums(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct indices and the sum of the values of each."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        return at[cuts], np.add.reduceat(values[order], cuts, axis=0)
+
+    def move(x: str, at: np.ndarray | slice, g: np.ndarray, n: int) -> None:
+        step = g / np.float32(n)
+        w, s = getattr(m, x), seen[x]
+        s[at] = now = s[at] + step * step
+        w[at] += np.float32(rate) * step / np.sqrt(now)
+
+    shuffled = rng.permutation(len(classes))
+    for lo in range(0, len(shuffled), batch):
+        at = shuffled[lo : lo + batch]
+        x1, x2, y = c1[at], c2[at], classes[at]
+        e1, e2 = m.context[x1], m.context[x2]
+        q = e1 @ m.near + e2 @ m.far
+        other = np.minimum(np.searchsorted(cumulative, rng.random(noise)), k - 1).astype(y.dtype)
+        t_true, t_noise = m.target[y], m.target[other]
+        lead = m.bias - floor
+        g_true = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t_true) + lead[y]))  # gradient of the log likelihood
+        g_noise = q @ -t_noise.T
+        g_noise -= lead[other]
+        np.exp(g_noise, out=g_noise)
+        g_noise += 1
+        np.divide(-1, g_noise, out=g_noise)
+        gq = g_true[:, None] * t_true + g_noise @ t_noise
+        target, g_target = sums(np.concatenate((y, other)), np.concatenate((np.column_stack((g_true[:, None] * q, g_true)), np.column_stack((g_noise.T @ q, g_noise.sum(axis=0))))))
+        context, g_context = sums(np.concatenate((x1, x2)), np.concatenate((gq @ m.near.T, gq @ m.far.T)))
+        g_near, g_far = e1.T @ gq, e2.T @ gq
+        move("target", target, g_target[:, :-1], len(at))
+        move("bias", target, g_target[:, -1], len(at))
+        move("context", context, g_context, len(at))
+        move("near", slice(None), g_near, len(at))
+        move("far", slice(None), g_far, len(at))
+
+
+def fit(classes: np.ndarray, rows: np.ndarray, class_counts: np.ndarray, epochs: int = 3, seed: int = 5) -> Model:
+    """The model of tokens that one process holds."""
+    m, seen = start(class_counts, seed=seed)
+    rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        order = rng.permutation(len(classes))
-        for lo in range(0, len(order), batch):
-            at = order[lo : lo + batch]
-            x1, x2, y = c1[at], c2[at], classes[at]
-            e1, e2 = m.context[x1], m.context[x2]
-            q = e1 @ m.near + e2 @ m.far
-            other = np.minimum(np.searchsorted(cumulative, rng.random(noise)), k - 1)
-            s_true = (q * m.target[y]).sum(axis=1) + m.bias[y] - log_p[y] - np.float32(np.log(noise))
-            s_noise = q @ m.target[other].T + m.bias[other] - log_p[other] - np.float32(np.log(noise))
-            g_true = 1 / (1 + np.exp(s_true))  # gradient of the log likelihood
-            g_noise = -1 / (1 + np.exp(-s_noise))
-            gq = g_true[:, None] * m.target[y] + g_noise @ m.target[other]
-            g = {x: np.zeros_like(getattr(m, x)) for x in names}
-            np.add.at(g["target"], y, g_true[:, None] * q)
-            np.add.at(g["target"], other, g_noise.T @ q)
-            np.add.at(g["bias"], y, g_true)
-            np.add.at(g["bias"], other, g_noise.sum(axis=0))
-            g["near"], g["far"] = e1.T @ gq, e2.T @ gq
-            np.add.at(g["context"], x1, gq @ m.near.T)
-            np.add.at(g["context"], x2, gq @ m.far.T)
-            for x in names:
-                step = g[x] / np.float32(len(at))
-                seen[x] += step * step
-                getattr(m, x)[...] += np.float32(rate) * step / np.sqrt(seen[x])
+        learn(m, seen, classes, rows, class_counts, rng)
+    return m
+
+
+def fit_all(train: DataFrame, n_tokens: int, class_counts: np.ndarray, epochs: int = 3, seed: int = 5) -> Model:
+    """The model of all rows (key, classes); what each shard learns depends on its rows only, not on how they were stored."""
+    spark = train.sparkSession
+    shards = max(1, -(-n_tokens // SHARD))
+    m, seen = start(class_counts, seed=seed)
+    shapes = [a.shape for a in [*(getattr(m, x) for x in WEIGHTS), *(seen[x] for x in WEIGHTS)]]
+    cuts = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
+    flat = lambda m, seen: np.concatenate([*(getattr(m, x).ravel() for x in WEIGHTS), *(seen[x].ravel() for x in WEIGHTS)])
+
+    def parts(state: np.ndarray) -> tuple[Model, dict[str, np.ndarray]]:
+        arrays = [state[a:b].reshape(s).copy() for a, b, s in zip(cuts, cuts[1:], shapes, strict=False)]
+        return Model(*arrays[: len(WEIGHTS)]), dict(zip(WEIGHTS, arrays[len(WEIGHTS) :], strict=True))
+
+    def mean(found: list[tuple[int, int, bytes]]) -> tuple[int, np.ndarray] | None:
+        """Tokens and the mean state, added in order of the shards."""
+        n = sum(x[1] for x in found)
+        total = np.zeros(int(cuts[-1]))
+        for _, c, state in sorted(found, key=lambda x: x[0]):
+            total += np.frombuffer(state, np.float32).astype(np.float64) * (c / n)
+        return (n, total.astype(np.float32)) if found else None
+
+    lanes = max(1, int(np.ceil(np.sqrt(shards))))
+    schema = "shard bigint, n bigint, state binary"
+    as_table = lambda shard, n, state: pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([n], pa.int64()), "state": pa.array([state.tobytes()], pa.binary())})
+    triples = lambda t: list(zip(t["shard"].to_pylist(), t["n"].to_pylist(), t["state"].to_pylist(), strict=True))
+    dealt = train.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    for epoch in range(epochs):
+        state = spark.sparkContext.broadcast(flat(m, seen))
+
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by("key").combine_chunks()
+            lists = table["classes"].combine_chunks()
+            classes = lists.flatten().to_numpy().astype(np.int64)
+            shard = table["shard"][0].as_py()
+            m, seen = parts(state.value)
+            learn(m, seen, classes, np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), class_counts, np.random.default_rng([seed, epoch, shard]))
+            return as_table(shard, len(classes), flat(m, seen))
+
+        def gather(table: pa.Table) -> pa.Table:
+            n, total = mean(triples(table))
+            return as_table(min(table["shard"].to_pylist()), n, total)
+
+        found = dealt.groupBy("shard").applyInArrow(run, schema)
+        if lanes > 1:
+            found = found.withColumn("lane", F.col("shard") % lanes).groupBy("lane").applyInArrow(gather, schema)
+        if got := mean(triples(found.toArrow())):  # ``lanes`` rows
+            m, seen = parts(got[1])
+        state.unpersist()
     return m
 
 
-def score(docs: DataFrame, key: str, text: str, train: DataFrame, shortlist: int = 767, frequent: int = 1 << 16, sample_docs: int = 3000) -> tuple[DataFrame, Vocabulary]:
+def score(docs: DataFrame, key: str, text: str, train: DataFrame, shortlist: int = 767, frequent: int = 1 << 16) -> tuple[DataFrame, Vocabulary]:
     """((row, id, n_tokens, n_known, base_score, score) of every row of ``docs``, vocabulary of ``train``)."""
     spark = docs.sparkSession
     counts = materialize(word_counts(train, text))
@@ -205,12 +289,8 @@ def score(docs: DataFrame, key: str, text: str, train: DataFrame, shortlist: int
                 classes = shared.value.look_up(hashes, bucket)[1]
                 yield pa.RecordBatch.from_arrays([part.column("key"), tx.list_array(classes.astype(np.int32), np.bincount(rows, minlength=part.num_rows))], names=["key", "classes"])
 
-    n_train = train.count()
-    few = train.select(F.xxhash64(key).alias("key"), text).filter(F.pmod("key", F.lit(1 << 20)) * F.lit(n_train).cast("bigint") < F.lit(sample_docs * (1 << 20)).cast("bigint"))
-    got = few.mapInArrow(classify, "key bigint, classes array<int>").toPandas().sort_values("key")  # about ``sample_docs`` rows
-    lists = [np.asarray(x, np.int64) for x in got["classes"]]
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    model = spark.sparkContext.broadcast(fit(flat, np.repeat(np.arange(len(lists)), [len(x) for x in lists]), vocab.class_counts))
+    classified = materialize(train.select(F.xxhash64(key).alias("key"), text).mapInArrow(classify, "key bigint, classes array<int>"))
+    model = spark.sparkContext.broadcast(fit_all(classified, vocab.n, vocab.class_counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, m = shared.value, model.value

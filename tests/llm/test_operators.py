@@ -316,3 +316,14 @@ def test_language_model_counts_and_norm(spark):
     total = sum(10 ** m.log10(np.array([1]), np.array([2]), np.array([k]))[0] for k in range(4))
     assert total == pytest.approx(1, abs=1e-4)
     assert lbl.score(docs.limit(0), "doc_id", "text", docs)[0].count() == 0
+
+
+def test_language_model_learns_from_every_training_row(spark):
+    """A habit of 40 among 4,000 training rows, whichever hash their keys have, shows in the score."""
+    ids = spark.range(1, 5000).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)).orderBy("h").select("id").toPandas()["id"].tolist()[-4000:]
+    habit = set(ids[-40:])  # the greatest hashes
+    texts = {i: "left right " * 30 if i in habit else f"up down {['left', 'right'][k % 2]} up" for k, i in enumerate(ids)}
+    train = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(-1, "left right left right left right"), (-2, "left left left right right right")], "doc_id bigint, text string")
+    got = {r["id"]: r["score"] for r in lbl.score(asked, "doc_id", "text", train, shortlist=50, frequent=100)[0].collect()}
+    assert got[-1] > got[-2] + 1
