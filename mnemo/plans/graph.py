@@ -92,6 +92,14 @@ def components(t):
     return found.join(sizes, "comp").select("id", "comp", "size")
 
 
+@query(None)
+def components_relates_to(t):
+    """Components over every relates_to edge; ``components`` has only the edges that its recursive SQL names."""
+    found = G.components(edges(t).filter("rel = 'relates_to'"))
+    sizes = found.groupBy("comp").agg(F.count("*").alias("size"))
+    return found.join(sizes, "comp").select("id", "comp", "size")
+
+
 @query(f"""WITH {EDGE_SQL}, m AS ({live_sql('id')}), w AS (SELECT a, b, rel, CASE WHEN idle_hours > 720 AND access_count < 3 THEN weight * 0.9 ELSE weight END AS weight FROM e)
 SELECT a, b, rel, round(weight, 6) AS weight FROM w SEMI JOIN m ON m.id = w.a WHERE weight >= 0.05 AND EXISTS (SELECT 1 FROM m WHERE m.id = w.b)""")
 def edge_decay_prune(t):

@@ -154,6 +154,12 @@ def consolidation_candidates(t):
     return L.consolidations(G.components(e.filter("a % 10 < 4 AND b = a DIV 2")), e.filter("rel = 'contains'"))
 
 
+@query(None)
+def consolidation_candidates_relates_to(t):
+    e = edges(t)
+    return L.consolidations(G.components(e.filter("rel = 'relates_to'")), e.filter("rel = 'contains'"))
+
+
 @query(f"WITH m AS ({live_sql()}) SELECT id, array_to_string(list_distinct([CASE WHEN lang = 'de' THEN 'german' ELSE lang END, source]), ',') AS tags FROM m".replace("list_distinct([", "([").replace("source]),", "source]),"))
 def tag_rename(t):
     return t.live("id", "lang", "source").select("id", F.array_join(L.rename_tag(F.array("lang", "source"), "de", "german"), ",").alias("tags"))
