@@ -83,6 +83,13 @@ def pagerank_personalized(t):
     return G.pagerank(start, edges(t)).filter("mass >= 0.0001").select("id", F.round("mass", 6).alias("mass"))
 
 
+@query(None)
+def pagerank_personalized_all(t):
+    """Every node with mass, unrounded; ``pagerank_personalized`` has the floor of its SQL."""
+    start = t.documents.filter("doc_id % 100 = 7").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3 + 1).cast("double").alias("mass"))
+    return G.pagerank(start, edges(t))
+
+
 @query(f"""WITH RECURSIVE {EDGE_SQL}, u AS (SELECT a, b FROM e WHERE a % 10 < 4 AND b = a // 2 UNION SELECT b, a FROM e WHERE a % 10 < 4 AND b = a // 2),
 r AS (SELECT a, b FROM u WHERE a <> b UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b), c AS (SELECT a AS id, least(a, min(b)) AS comp FROM r GROUP BY a)
 SELECT id, comp, count(*) OVER (PARTITION BY comp) AS size FROM c""")

@@ -32,3 +32,24 @@ def test_components_of_every_relates_to_edge(spark, sf):
     orphans = collections.Counter(c for i, c in comp.items() if i not in child)
     got = {(r["comp"], r["n"], r["orphans"]) for r in plans.QUERIES["consolidation_candidates_relates_to"](spark, sf).collect()}
     assert got == {(c, n, orphans[c]) for c, n in size.items() if n >= 3 and orphans[c] * 2 > n}
+
+
+def test_pagerank_of_every_node_with_mass(spark, sf):
+    t = Tables(spark, sf)
+    walk = collections.defaultdict(list)
+    for r in edges(t).filter("rel <> 'merged_into' AND weight > 0").collect():
+        walk[r["a"]].append((r["b"], r["weight"]))
+        walk[r["b"]].append((r["a"], r["weight"]))
+    seeds = {r["doc_id"]: r["doc_id"] % 3 + 1.0 for r in t.documents.filter("doc_id % 100 = 7").collect()}
+    start = {i: m / sum(seeds.values()) for i, m in seeds.items()}
+    rank = start
+    for _ in range(20):
+        after = collections.defaultdict(float, {i: m * 0.5 for i, m in start.items()})
+        for i, m in rank.items():
+            out = sum(w for _, w in walk[i])
+            for far, w in walk[i]:
+                after[far] += m * 0.5 * w / out
+        rank = after
+    got = {r["id"]: r["mass"] for r in plans.QUERIES["pagerank_personalized_all"](spark, sf).collect()}
+    assert set(got) == set(rank) and min(got.values()) < 0.0001
+    assert all(abs(got[i] - m) < 1e-9 for i, m in rank.items())
