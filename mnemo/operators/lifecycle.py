@@ -197,28 +197,50 @@ def shared_tags(rows: DataFrame, group: str) -> DataFrame:
     return tags.join(sizes, group).filter("c = n").select(group, "tag")
 
 
-def leader_clusters(vectors: DataFrame, group: str, threshold: float, most: int = 500) -> DataFrame:
+def leader_clusters(vectors: DataFrame, group: str, threshold: float, block: int = 256, chunk: int = 4096) -> DataFrame:
     """(group, id, leader): each row in order of id joins the first leader at the threshold or leads itself.
 
-    The choice depends on all before it, so it runs per group on its first ``most`` rows (part of the
-    operation's meaning: only that many candidates are considered).
+    The choice depends on all before it, so a group's rows stream through one task in order of id; ``block``
+    rows at a time meet the leaders so far, which are all that the task keeps.
     """
     import numpy as np
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id").head(most)
-        v = np.array(rows["v"].tolist())
-        leaders: list[int] = []
-        mine = []
-        for i in range(len(v)):
-            near = [j for j in leaders if float(v[i] @ v[j]) >= threshold]
-            if not near:
-                leaders.append(i)
-            mine.append(near[0] if near else i)
-        return pd.DataFrame({group: rows[group].to_numpy(), "id": rows["id"].to_numpy(), "leader": rows["id"].to_numpy()[mine]})
-
-    return vectors.select(group, "id", "v").groupBy(group).applyInPandas(run, f"{group} bigint, id bigint, leader bigint")
+    import pyarrow as pa
+
+    def run(batches):
+        at, ids, full, last = None, [], [], []  # the group; its leaders' ids, matrices of ``chunk`` and the rest
+        for batch in batches:
+            groups = batch.column(0).to_pylist()
+            cuts = [0, *(i for i in range(1, len(groups)) if groups[i] != groups[i - 1]), len(groups)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo < hi and (at is None or at[0] != groups[lo]):
+                    at, ids, full, last = (groups[lo],), [], [], []
+                for start in range(lo, hi, block):
+                    part = batch.slice(start, min(block, hi - start))
+                    own, v = part.column(1).to_pylist(), np.array(part.column(2).to_pylist())
+                    mine = np.full(len(own), -1)
+                    for k, leaders in enumerate([*full, *([np.array(last)] if last else [])]):
+                        todo = np.flatnonzero(mine < 0)
+                        near = v[todo] @ leaders.T >= threshold
+                        mine[todo] = np.where(near.any(axis=1), k * chunk + near.argmax(axis=1), -1)
+                    todo = np.flatnonzero(mine < 0)
+                    near = v[todo] @ v[todo].T >= threshold
+                    new: list[int] = []
+                    for i in range(len(todo)):
+                        first = next((j for j in new if near[i, j]), i)
+                        if first == i:
+                            new.append(i)
+                            mine[todo[i]] = len(ids)
+                            ids.append(own[todo[i]])
+                            last.append(v[todo[i]])
+                            if len(last) == chunk:
+                                full.append(np.array(last))
+                                last = []
+                        else:
+                            mine[todo[i]] = mine[todo[first]]
+                    yield pa.RecordBatch.from_arrays([pa.array(groups[start : start + len(own)], pa.int64()), pa.array(own, pa.int64()), pa.array([ids[j] for j in mine], pa.int64())], names=[group, "id", "leader"])
+
+    rows = vectors.select(F.col(group).cast("bigint").alias(group), F.col("id").cast("bigint").alias("id"), "v")
+    return rows.repartition(group).sortWithinPartitions(group, "id").mapInArrow(run, f"{group} bigint, id bigint, leader bigint")
 
 
 def consolidations(components: DataFrame, contains: DataFrame, least: int = 3) -> DataFrame:

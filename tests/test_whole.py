@@ -2,7 +2,10 @@
 
 import collections
 
+import numpy as np
+
 from mnemo import plans
+from mnemo.operators import lifecycle as L
 from mnemo.plans.graph import edges
 from mnemo.sources.tables import Tables
 
@@ -53,3 +56,19 @@ def test_pagerank_of_every_node_with_mass(spark, sf):
     got = {r["id"]: r["mass"] for r in plans.QUERIES["pagerank_personalized_all"](spark, sf).collect()}
     assert set(got) == set(rank) and min(got.values()) < 0.0001
     assert all(abs(got[i] - m) < 1e-9 for i, m in rank.items())
+
+
+def test_every_vector_gets_its_leader(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(1500, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i * 7 % 1500, None if i % 5 == 4 else int(i % 5 > 2), x.tolist()) for i, x in enumerate(v)]
+    want, leaders = {}, collections.defaultdict(list)
+    for i, g, x in sorted(rows, key=lambda r: r[0]):
+        first = next((j for j, y in leaders[g] if np.dot(x, y) >= 0.8), None)
+        if first is None:
+            leaders[g].append((i, x))
+        want[i] = (g, i if first is None else first)
+    got = L.leader_clusters(spark.createDataFrame(rows, "id bigint, g bigint, v array<double>"), "g", 0.8, chunk=32).collect()
+    assert len(got) == 1500 and {r["id"]: (r["g"], r["leader"]) for r in got} == want
+    assert max(map(len, leaders.values())) > 64
