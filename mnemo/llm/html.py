@@ -1,17 +1,18 @@
 """Main text of web pages, with site templates removed by subtree hashes counted per host.
 
 A forgiving tag scanner builds elements (implied ends of p, li, cells and the like; void elements;
-scripts and comments skipped). Every element gets a hash of its tag and content. Spark counts on how
-many pages of a host each hash stands; subtrees that stand on at least ``min_pages`` pages and at least
-``share`` of the host's pages are deleted from each of them. Then the article is read: the elements
-named article (else main, else body), without navigation, headers, footers, asides, forms, adverts,
-notices and reader comments, recognised by element, role, class or id.
-
-Per host only subtrees standing on ``share`` of its pages are kept, so a host's list is at most the
-mean number of elements on its pages over ``share``, whatever the number of pages.
-
-Null html counts as empty and gives an empty text; a null URL belongs to host ''; repeated rows count
-as pages of their own. Nested articles are read once. Character references are decoded, white space
+scripts and comments skipped). Every element gets a hash of its tag and content. Spark counts in how
+many different articles of a host each hash stands, so that copies of a page count once. Subtrees that
+stand in at least ``min_pages`` articles and at least the square root of the host's articles are deleted
+from each page; paragraphs, headings, list items and cells, which a few articles may well share, only
+from ``share`` of the articles on. Then the article is read: the elements named article (else main, else
+body), without navigation, headers, footers, asides, forms, adverts, notices and reader comments,
+recognised by element, role, class or id.
+
+The lists that travel to the pages hold a page's own recurring subtrees, whatever the size of the host.
+
+Null html counts as empty and gives an empty text; a null URL belongs to host ''; repeated rows are
+kept. Nested articles are read once. Character references are decoded, white space
 inside a block becomes one space, blocks are trimmed and joined by one line feed in page order.
 """
 
@@ -21,7 +22,6 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
@@ -149,16 +149,18 @@ def _walk(root: Element) -> Iterator[Element]:
         todo += [x for x in reversed(e.items) if isinstance(x, Element)]
 
 
-def subtrees(text: str) -> set[int]:
-    """Hashes of block elements with words below the page's article or body."""
-    return {e.hash - (1 << 64) if e.hash >> 63 else e.hash for e in _walk(parse(text)) if e.words and e.tag not in INLINE and e.tag not in _WHOLE}
+#: Blocks that are text of their own.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption figcaption blockquote pre".split())
 
 
-def main_text(text: str, template: frozenset[int] = frozenset()) -> str:
-    """Blocks of the article, less the subtrees whose (signed) hash is in ``template``."""
-    root = parse(text)
-    tops: list[Element] = []
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def tops_of(root: Element) -> list[Element]:
+    """The elements named article, else main, else body, else the root."""
     for name in ("article", "main", "body"):
+        tops: list[Element] = []
         todo = [root]
         while todo:
             e = todo.pop()
@@ -167,7 +169,21 @@ def main_text(text: str, template: frozenset[int] = frozenset()) -> str:
             elif e.tag == name or not _unwanted(e):
                 todo += [x for x in reversed(e.items) if isinstance(x, Element)]
         if tops:
-            break
+            return tops
+    return [root]
+
+
+def subtrees(text: str) -> tuple[int, list[int], list[int]]:
+    """Hash of the page's article; hashes of its block elements with words: those of ``TEXT`` and the others."""
+    tops = tops_of(parse(text))
+    blocks = [e for top in tops for e in _walk(top) if e.words and e.tag not in INLINE and e.tag not in _WHOLE]
+    article = xxhash.xxh3_64_intdigest("\x01".join(p for top in tops for p in top.parts).encode("utf-8", "surrogatepass"))
+    return _signed(article), sorted({_signed(e.hash) for e in blocks if e.tag in TEXT}), sorted({_signed(e.hash) for e in blocks if e.tag not in TEXT})
+
+
+def main_text(text: str, template: frozenset[int] = frozenset()) -> str:
+    """Blocks of the article, less the subtrees whose (signed) hash is in ``template``."""
+    tops = tops_of(parse(text))
     blocks: list[str] = []
     line: list[str] = []
 
@@ -176,7 +192,7 @@ def main_text(text: str, template: frozenset[int] = frozenset()) -> str:
             blocks.append(block)
         line.clear()
 
-    for top in tops or [root]:
+    for top in tops:
         todo: list = [top]
         while todo:
             x = todo.pop()
@@ -186,7 +202,7 @@ def main_text(text: str, template: frozenset[int] = frozenset()) -> str:
                 line.append(x)
             elif x.tag == "br":
                 line.append(" ")
-            elif x is not top and (_unwanted(x) or (x.hash - (1 << 64) if x.hash >> 63 else x.hash) in template):
+            elif x is not top and (_unwanted(x) or _signed(x.hash) in template):
                 if x.tag not in INLINE:
                     flush()
             elif x.tag in INLINE:
@@ -199,40 +215,40 @@ def main_text(text: str, template: frozenset[int] = frozenset()) -> str:
     return "\n".join(blocks)
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def keyed(pages: DataFrame, url: str, page: str) -> DataFrame:
+    """Pages with their host and a hash of their content."""
+    host = F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    return pages.withColumn("__host", host).withColumn("__content", F.xxhash64(F.coalesce(page, F.lit(""))))
 
 
 def templates(pages: DataFrame, url: str, page: str, min_pages: int = 5, share: float = 0.5) -> DataFrame:
-    """(host, template): hashes of the subtrees that recur on the host."""
+    """(host, content, template): hashes of the subtrees of a page that recur on its host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                hosts: list[str] = []
-                found: list[int | None] = []
                 part = batch.slice(at, 64)
-                for u, t in zip(part.column(0), part.column(1), strict=True):
-                    own = [None, *subtrees(t.as_py() or "")]  # None counts the page
-                    hosts += [host_of(u.as_py())] * len(own)
-                    found += own
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "hash"])
-
-    seen = pages.select(url, page).mapInArrow(run, "host string, hash bigint").groupBy("host", "hash").agg(F.count("*").alias("n")).filter((F.col("n") >= min_pages) | F.col("hash").isNull())
-    seen = materialize(seen)
-    total = seen.filter("hash IS NULL").select("host", F.col("n").alias("pages"))
-    often = seen.filter("hash IS NOT NULL").join(total, "host").filter(F.col("n") >= F.col("pages") * share)
-    return materialize(often.groupBy("host").agg(F.collect_list("hash").alias("template")))
+                found = [subtrees(t.as_py() or "") for t in part.column(2)]
+                arrays = [pa.array([x[0] for x in found], pa.int64()), *(pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (1, 2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["host", "content", "article", "texts", "others"])
+
+    found = keyed(pages, url, page).select("__host", "__content", page).mapInArrow(run, "host string, content bigint, article bigint, texts array<bigint>, others array<bigint>")
+    found = materialize(found)
+    # Distinct articles first, by partial sums; neither copies nor a host meet in one task.
+    blocks = found.select("host", "content", "article", F.explode(F.concat(F.transform("texts", lambda h: F.struct(h.alias("hash"), F.lit(True).alias("own"))), F.transform("others", lambda h: F.struct(h.alias("hash"), F.lit(False).alias("own"))))).alias("x"))
+    blocks = blocks.select("host", "content", "article", "x.hash", "x.own")
+    times = blocks.select("host", "hash", "own", "article").distinct().groupBy("host", "hash", "own").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    total = found.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    enough = F.when(F.col("own"), F.col("pages") * F.lit(share)).otherwise(F.sqrt("pages"))
+    often = materialize(times.join(total, "host").filter(F.col("n") >= enough).select("host", "hash"))
+    return materialize(blocks.select("host", "content", "hash").join(often, ["host", "hash"]).groupBy("host", "content").agg(F.collect_set("hash").alias("template")))
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text", min_pages: int = 5, share: float = 0.5) -> DataFrame:
     """Append ``out`` (replacing a column of that name): the main text of each page."""
     pages = pages.drop(out)
     own = "__template"
-    lists = templates(pages, url, page, min_pages, share).select(F.col("host").alias("__host"), F.col("template").alias(own))
+    lists = templates(pages, url, page, min_pages, share).select(F.col("host").alias("__host"), F.col("content").alias("__content"), F.col("template").alias(own))
     schema = T.StructType([*pages.schema.fields, T.StructField(out, T.StringType())])
     names = pages.columns
 
@@ -243,5 +259,4 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "
                 made = [main_text(t.as_py() or "", frozenset(x.as_py() or ())) for t, x in zip(part.column(page), part.column(own), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(made, pa.string())], names=[*names, out])
 
-    host = F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    return pages.withColumn("__host", host).join(lists, "__host", "left").drop("__host").mapInArrow(run, schema)
+    return keyed(pages, url, page).join(lists, ["__host", "__content"], "left").drop("__host", "__content").mapInArrow(run, schema)

@@ -327,3 +327,14 @@ def test_language_model_learns_from_every_training_row(spark):
     asked = spark.createDataFrame([(-1, "left right left right left right"), (-2, "left left left right right right")], "doc_id bigint, text string")
     got = {r["id"]: r["score"] for r in lbl.score(asked, "doc_id", "text", train, shortlist=50, frequent=100)[0].collect()}
     assert got[-1] > got[-2] + 1
+
+
+def test_html_templates_of_sections_and_copies(spark):
+    notice = "<div><p>Our autumn sale</p></div>"
+    page = "<body><article><h1>Head {n}</h1><p>Words of {n}</p>{extra}</article></body>"
+    rows = [(n, f"https://a.example/{n}", page.format(n=n, extra=notice if n < 12 else "")) for n in range(60)]  # a fifth of the host
+    rows += [(n, f"https://b.example/{n}", page.format(n=0 if n % 2 else n, extra="")) for n in range(100, 130)]  # half of them copies
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == 90
+    assert all(got[n] == f"Head {n}\nWords of {n}" for n in range(60))
+    assert all(got[n] == f"Head {0 if n % 2 else n}\nWords of {0 if n % 2 else n}" for n in range(100, 130))
