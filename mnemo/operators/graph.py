@@ -128,6 +128,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def classes(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, class, links) of every member (id, hash or null): least id of its component, number of its links.
+
+    Members of one of the ``sets`` (hash, least, copies) are linked to each other; ``links`` (a, b) join the
+    least ids of different sets, each pair once.
+    """
+    ends = links.union(links.select("b", "a")).join(sets.select(F.col("least").alias("b"), "copies"), "b").groupBy(F.col("a").alias("least")).agg(F.sum("copies").alias("far"))
+    found = sets.join(ends, "least", "left").join(components(links).withColumnRenamed("id", "least"), "least", "left")
+    found = found.select("hash", F.coalesce("comp", "least").alias("class"), (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    return members.join(found, "hash", "left").select("id", F.coalesce("class", "id").alias("class"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def decay_and_prune(edges: DataFrame, alive: DataFrame) -> DataFrame:
     """Edges idle for 30 days with fewer than 3 uses lose a tenth; those below 0.05 or with a dead end go."""
     idle = (F.col("idle_hours") > 720) & (F.col("access_count") < 3)

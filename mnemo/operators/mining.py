@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemo.functions import score as S
 from mnemo.functions import text as X
+from mnemo.operators import graph as G
 
 # Fixed values: (cue, weight, pattern) of the intent classes.
 INTENTS = [
@@ -76,6 +77,20 @@ def entity_overlap(found: DataFrame, queries: DataFrame, least: float = 0.15) ->
     return rows.withColumn("jaccard", F.round(F.col("shared") / (F.col("size") + F.col("qsize") - F.col("shared")), 6)).filter(F.col("jaccard") >= least).select("qid", "id", "jaccard")
 
 
+def overlap_classes(docs: DataFrame, listed: DataFrame, items: list[str], overlap: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(id, class, links) of every document: least id of its component, number of documents that ``overlap`` links to it.
+
+    Documents of equal lists are one set first, so only different lists are compared.
+    """
+    listed = G.written(listed.select("id", *items))
+    hashes = listed.groupBy("id").agg(F.sha2(F.array_sort(F.collect_list(F.struct(*items))).cast("string"), 256).alias("hash"))
+    members = G.written(docs.select("id").join(hashes, "id", "left"))
+    sets = G.written(members.filter("hash IS NOT NULL").groupBy("hash").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
+    ones = sets.select(F.col("least").alias("id"))
+    links = overlap(listed.join(ones, "id", "left_semi"), ones).filter("qid < id").select(F.col("qid").alias("a"), F.col("id").alias("b"))
+    return G.classes(members, sets, G.written(links))
+
+
 def sequences(sessions: DataFrame, shortest: int = 2, longest: int = 5, support: int = 2, steps: str = "steps", sid: str = "sid") -> DataFrame:
     """(pattern, length, support): contiguous runs of steps found in at least ``support`` sessions."""
     spans = F.flatten(F.transform(F.sequence(F.lit(shortest), F.lit(longest)), lambda n: F.when(F.size(steps) >= n, F.transform(F.sequence(F.lit(1), F.size(steps) - n + 1), lambda i: F.array_join(F.slice(steps, i, n), ">"))).otherwise(F.array().cast("array<string>"))))

@@ -118,6 +118,12 @@ def paraphrase_pairs(t):
     return L.paraphrases(m, m.filter("id % 50 = 0"))
 
 
+@query(None)
+def paraphrase_classes(t):
+    """Every document; ``paraphrase_pairs`` asks for those that its SQL names."""
+    return L.paraphrase_classes(t.mem("id", "content"))
+
+
 @query(f"""WITH m AS ({mem_sql()}), c AS (SELECT sha256(content) AS hash, min(id) AS least FROM m GROUP BY 1), d AS (SELECT least AS id, max(importance) AS i, count(*) AS n FROM m JOIN c ON c.hash = sha256(m.content) WHERE m.id <> least GROUP BY 1)
 SELECT m.id, round(greatest(importance, coalesce(i, importance)), 6) AS importance, (access_count + coalesce(n, 0))::BIGINT AS access_count FROM m LEFT JOIN d USING (id) WHERE m.id IN (SELECT least FROM c)""")
 def dedup_canonical(t):

@@ -32,6 +32,13 @@ def topic_overlap_pairs(t):
     return M.topic_overlap(M.topics(m, 10), m.filter("id % 50 = 0"))
 
 
+@query(None)
+def topic_overlap_classes(t):
+    """Every document; ``topic_overlap_pairs`` asks for those that its SQL names."""
+    m = t.mem("id", "content")
+    return M.overlap_classes(m, M.topics(m, 10).filter("score > 0"), ["term", "score"], M.topic_overlap)
+
+
 ENTITIES = f"""m AS ({mem_sql('id', 'content')}), li AS (SELECT id, unnest(string_split(content, chr(10))) AS t FROM m),
 se AS (SELECT id, unnest(string_split_regex(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM li),
 ru AS (SELECT id, s, regexp_extract(s, '^[^\\p{{L}}\\p{{N}}_]*(\\p{{Lu}}[\\p{{L}}\\p{{N}}''_-]+(?: \\p{{Lu}}[\\p{{L}}\\p{{N}}''_-]+)*)', 1) AS first FROM se)"""
@@ -48,6 +55,13 @@ def entity_cooccurrence(t):
     return M.entity_overlap(M.entities(m), m.filter("id % 50 = 0"))
 
 
+@query(None)
+def entity_overlap_classes(t):
+    """Every document; ``entity_cooccurrence`` asks for those that its SQL names."""
+    m = t.mem("id", "content")
+    return M.overlap_classes(m, M.entities(m), ["entity"], M.entity_overlap)
+
+
 SEQ = f"""s AS ({SESS_SQL}), g AS (SELECT DISTINCT sid, array_to_string(steps[i:i+n-1], '>') AS pattern, n AS length FROM s, range(2, 6) r(n), unnest(range(1, len(steps) + 1)) u(i) WHERE i + n - 1 <= len(steps)),
 p AS (SELECT pattern, any_value(length)::INT AS length, count(DISTINCT sid) AS support FROM g GROUP BY 1 HAVING count(DISTINCT sid) >= 2)"""
 

@@ -6,6 +6,7 @@ import numpy as np
 
 from mnemo import plans
 from mnemo.operators import lifecycle as L
+from mnemo.operators import mining as M
 from mnemo.plans.graph import edges
 from mnemo.sources.tables import Tables
 
@@ -72,3 +73,29 @@ def test_every_vector_gets_its_leader(spark):
     got = L.leader_clusters(spark.createDataFrame(rows, "id bigint, g bigint, v array<double>"), "g", 0.8, chunk=32).collect()
     assert len(got) == 1500 and {r["id"]: (r["g"], r["leader"]) for r in got} == want
     assert max(map(len, leaders.values())) > 64
+
+
+def test_paraphrases_of_every_document(spark):
+    rng = np.random.default_rng(2)
+    words = [f"word{c}{d}" for c in "abcdefgh" for d in "stuvwxyz"]
+    rows = [(1000, None), (1001, "too few words here"), (1002, "")]
+    for i in range(120):
+        base = [words[(i % 30 * 7 + k * k) % 64] for k in range(6 + i % 9)]
+        rows.append((i, " ".join(base if i % 3 else [*base[:-1], str(rng.choice(words))])))
+    sets = {i: frozenset(w for w in (c or "").split() if len(w) >= 4) for i, c in rows}
+    near = lambda x, y: len(x & y) >= 5 and 10 * len(x & y) >= 7 * max(len(x), len(y))
+    links = [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])]
+    comp, n = component_of(links), collections.Counter(x for pair in links for x in pair)
+    got = {r["id"]: (r["class"], r["links"]) for r in L.paraphrase_classes(spark.createDataFrame(rows, "id bigint, content string")).collect()}
+    assert got == {i: (comp.get(i, i), n[i]) for i in sets}
+    assert len(links) > 50 and any(sets[a] != sets[b] for a, b in links) and any(a % 50 and b % 50 for a, b in links)
+
+
+def test_overlaps_of_every_document(spark, sf):
+    m = Tables(spark, sf).mem("id", "content")
+    for name, listed, overlap in (("topic_overlap_classes", M.topics(m, 10), M.topic_overlap), ("entity_overlap_classes", M.entities(m), M.entity_overlap)):
+        links = [(r["qid"], r["id"]) for r in overlap(listed, m).filter("qid < id").collect()]
+        comp, n = component_of(links), collections.Counter(x for pair in links for x in pair)
+        got = {r["id"]: (r["class"], r["links"]) for r in plans.QUERIES[name](spark, sf).collect()}
+        assert got == {r["id"]: (comp.get(r["id"], r["id"]), n[r["id"]]) for r in m.select("id").collect()}
+        assert name != "topic_overlap_classes" or any(a % 50 and b % 50 for a, b in links)
