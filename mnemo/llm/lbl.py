@@ -4,10 +4,11 @@ Counts of all words come from all training rows by grouped sums. The ``shortlist
 are classes of their own, all others share ``BUCKETS`` classes by their last two bytes. The model
 predicts the next class from the embeddings of the last two, each through a matrix of its position;
 within a bucket words follow the smoothed unigram distribution. Its weights are fitted on all training
-rows: these are dealt by key to shards of about ``SHARD`` tokens, every task takes an epoch over its shard
-from the same weights, and the results are averaged by tokens (in two steps, so that the driver gathers
-the square root of the number of shards) before the next epoch. The first weights are random, with the
-class frequencies as bias.
+rows through what the model can see of them: the counts of all class trigrams, by grouped sums. These are
+dealt by context to shards of about ``SHARD`` presentations, every task takes an epoch over its shard from
+the same weights, and the results are averaged by tokens (in two steps, so that the driver gathers the
+square root of the number of shards) before the next epoch. The first weights are random, with the class
+frequencies as bias.
 
 Scoring normalises over all classes with batched matrix products, once per distinct context in a piece
 of text. Counts of the ``frequent`` most frequent words travel with the tasks (a fixed number of rows);
@@ -29,13 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._io import materialize
+from ._io import discard, materialize
 
 BUCKETS = 256
 END = np.uint64(0x5EED0E2DE2D0E2D1)
 SMOOTH = 0.1
-#: Mean tokens of a shard: what one task learns from between two averages.
-SHARD = 1 << 20
+#: Mean presentations of a shard: what one task learns from between two averages.
+SHARD = 1 << 19
+#: Most tokens that one presentation of a trigram stands for.
+WEIGHT = 8
+EPOCHS = 3
+#: Presentations that an epoch over a shard makes at least; a small shard is gone through again and again.
+LEAST = 1 << 16
 WEIGHTS = ["context", "target", "near", "far", "bias"]
 
 
@@ -167,14 +173,32 @@ def start(class_counts: np.ndarray, width: int = 32, seed: int = 5) -> tuple[Mod
     return m, {x: np.full_like(getattr(m, x), 1e-2) for x in WEIGHTS}
 
 
-def learn(m: Model, seen: dict[str, np.ndarray], classes: np.ndarray, rows: np.ndarray, class_counts: np.ndarray, rng: np.random.Generator, noise: int = 64, batch: int = 512, rate: float = 0.2) -> None:
-    """An epoch of noise-contrastive estimation against the class frequencies, by Adagrad, in place."""
+def presented(key: np.ndarray, n: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """(context, class, weight) of the trigrams in the order of an epoch.
+
+    A trigram seen n times is presented ceil(n / WEIGHT) times with equal weights, so that no step is
+    ruled by a frequent one. The presentations of a context are spread over rounds of it, and the rounds
+    of all contexts shuffled.
+    """
+    times = -(-n // WEIGHT)
+    weight = np.repeat((n / times).astype(np.float32), times)
+    turn = np.arange(len(weight)) - np.repeat(np.cumsum(times) - times, times)
+    key = np.repeat(key, times)
+    group, inverse = np.unique((key // k) * (int(times.max(initial=0)) + 1) + turn, return_inverse=True)
+    order = np.argsort(rng.permutation(len(group))[inverse], kind="stable")
+    return (key // k)[order], (key % k)[order], weight[order], inverse[order]
+
+
+def learn(m: Model, seen: dict[str, np.ndarray], key: np.ndarray, n: np.ndarray, class_counts: np.ndarray, rng: np.random.Generator, noise: int = 64, batch: int = 512, rate: float = 0.2) -> None:
+    """A pass of noise-contrastive estimation over counted trigrams, against the class frequencies, by Adagrad, in place.
+
+    Noise is drawn once a step and costs once a context, whatever the number of its continuations.
+    """
     k = len(class_counts)
     p = (class_counts + 0.5) / (class_counts + 0.5).sum()
     floor = (np.log(p) + np.log(noise)).astype(np.float32)
-    c1, c2 = (x.astype(np.int16 if k < 1 << 15 else np.int64) for x in contexts(classes, rows))
-    classes = classes.astype(c1.dtype)
     cumulative = np.cumsum(p)
+    small = np.int16 if k < 1 << 15 else np.int64
 
     def sums(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct indices and the sum of the values of each."""
@@ -183,51 +207,77 @@ def learn(m: Model, seen: dict[str, np.ndarray], classes: np.ndarray, rows: np.n
         cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         return at[cuts], np.add.reduceat(values[order], cuts, axis=0)
 
-    def move(x: str, at: np.ndarray | slice, g: np.ndarray, n: int) -> None:
-        step = g / np.float32(n)
+    def move(x: str, at: np.ndarray | slice, g: np.ndarray, total: np.float32) -> None:
+        step = g / total
         w, s = getattr(m, x), seen[x]
         s[at] = now = s[at] + step * step
         w[at] += np.float32(rate) * step / np.sqrt(now)
 
-    shuffled = rng.permutation(len(classes))
-    for lo in range(0, len(shuffled), batch):
-        at = shuffled[lo : lo + batch]
-        x1, x2, y = c1[at], c2[at], classes[at]
+    context, classes, weights, group = presented(key, n, k, rng)
+    classes = classes.astype(small)
+    heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+    far, near = (context[heads] // k).astype(small), (context[heads] % k).astype(small)
+    edges = np.append(heads, len(group))
+    at = 0
+    while at < len(heads):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + batch, "right")) - 1)
+        lo, hi = edges[at], edges[to]
+        starts, y, w = edges[at:to] - lo, classes[lo:hi], weights[lo:hi]
+        size = np.diff(edges[at : to + 1])
+        x1, x2, total = near[at:to], far[at:to], w.sum()
         e1, e2 = m.context[x1], m.context[x2]
         q = e1 @ m.near + e2 @ m.far
-        other = np.minimum(np.searchsorted(cumulative, rng.random(noise)), k - 1).astype(y.dtype)
+        qs = np.repeat(q, size, axis=0)
+        other = np.minimum(np.searchsorted(cumulative, rng.random(noise)), k - 1).astype(small)
         t_true, t_noise = m.target[y], m.target[other]
         lead = m.bias - floor
-        g_true = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t_true) + lead[y]))  # gradient of the log likelihood
+        g_true = w / (1 + np.exp(np.einsum("ij,ij->i", qs, t_true) + lead[y]))  # gradient of the log likelihood
         g_noise = q @ -t_noise.T
         g_noise -= lead[other]
         np.exp(g_noise, out=g_noise)
         g_noise += 1
-        np.divide(-1, g_noise, out=g_noise)
-        gq = g_true[:, None] * t_true + g_noise @ t_noise
-        target, g_target = sums(np.concatenate((y, other)), np.concatenate((np.column_stack((g_true[:, None] * q, g_true)), np.column_stack((g_noise.T @ q, g_noise.sum(axis=0))))))
-        context, g_context = sums(np.concatenate((x1, x2)), np.concatenate((gq @ m.near.T, gq @ m.far.T)))
+        np.divide(-np.add.reduceat(w, starts)[:, None], g_noise, out=g_noise)
+        gq = np.add.reduceat(g_true[:, None] * t_true, starts, axis=0) + g_noise @ t_noise
+        target, g_target = sums(np.concatenate((y, other)), np.concatenate((np.column_stack((g_true[:, None] * qs, g_true)), np.column_stack((g_noise.T @ q, g_noise.sum(axis=0))))))
+        words, g_context = sums(np.concatenate((x1, x2)), np.concatenate((gq @ m.near.T, gq @ m.far.T)))
         g_near, g_far = e1.T @ gq, e2.T @ gq
-        move("target", target, g_target[:, :-1], len(at))
-        move("bias", target, g_target[:, -1], len(at))
-        move("context", context, g_context, len(at))
-        move("near", slice(None), g_near, len(at))
-        move("far", slice(None), g_far, len(at))
+        move("target", target, g_target[:, :-1], total)
+        move("bias", target, g_target[:, -1], total)
+        move("context", words, g_context, total)
+        move("near", slice(None), g_near, total)
+        move("far", slice(None), g_far, total)
+        at = to
+
 
+def counted(classes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(trigram, times): trigrams are (class before last * k + last) * k + class."""
+    c1, c2 = contexts(classes, rows)
+    return np.unique((c2 * k + c1) * k + classes, return_counts=True)
 
-def fit(classes: np.ndarray, rows: np.ndarray, class_counts: np.ndarray, epochs: int = 3, seed: int = 5) -> Model:
+
+def epoch(m: Model, seen: dict[str, np.ndarray], key: np.ndarray, n: np.ndarray, class_counts: np.ndarray, rng: np.random.Generator) -> None:
+    """``learn`` once, or until ``LEAST`` presentations have been made."""
+    made = 0
+    while len(key) and made < LEAST:
+        learn(m, seen, key, n, class_counts, rng)
+        made += int((-(-n // WEIGHT)).sum())
+
+
+def fit(classes: np.ndarray, rows: np.ndarray, class_counts: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Model:
     """The model of tokens that one process holds."""
     m, seen = start(class_counts, seed=seed)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        learn(m, seen, classes, rows, class_counts, rng)
+        epoch(m, seen, *counted(classes, rows, len(class_counts)), class_counts, rng)
     return m
 
 
-def fit_all(train: DataFrame, n_tokens: int, class_counts: np.ndarray, epochs: int = 3, seed: int = 5) -> Model:
-    """The model of all rows (key, classes); what each shard learns depends on its rows only, not on how they were stored."""
-    spark = train.sparkSession
-    shards = max(1, -(-n_tokens // SHARD))
+def fit_all(trigrams: DataFrame, class_counts: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Model:
+    """The model of all trigrams (key, n); what each shard learns depends on its trigrams only, not on how they were stored."""
+    spark = trigrams.sparkSession
+    k = len(class_counts)
+    steps = trigrams.agg(F.sum(F.ceil(F.col("n") / WEIGHT))).first()[0] or 0
+    shards = max(1, -(-steps // SHARD))
     m, seen = start(class_counts, seed=seed)
     shapes = [a.shape for a in [*(getattr(m, x) for x in WEIGHTS), *(seen[x] for x in WEIGHTS)]]
     cuts = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
@@ -249,18 +299,17 @@ def fit_all(train: DataFrame, n_tokens: int, class_counts: np.ndarray, epochs: i
     schema = "shard bigint, n bigint, state binary"
     as_table = lambda shard, n, state: pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([n], pa.int64()), "state": pa.array([state.tobytes()], pa.binary())})
     triples = lambda t: list(zip(t["shard"].to_pylist(), t["n"].to_pylist(), t["state"].to_pylist(), strict=True))
-    dealt = train.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    for epoch in range(epochs):
+    dealt = trigrams.withColumn("shard", F.pmod(F.xxhash64(F.expr(f"key DIV {k}")), F.lit(shards)))
+    for turn in range(epochs):
         state = spark.sparkContext.broadcast(flat(m, seen))
 
         def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by("key").combine_chunks()
-            lists = table["classes"].combine_chunks()
-            classes = lists.flatten().to_numpy().astype(np.int64)
+            key, n = table["key"].to_numpy(), table["n"].to_numpy()
+            order = np.argsort(key)
             shard = table["shard"][0].as_py()
             m, seen = parts(state.value)
-            learn(m, seen, classes, np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), class_counts, np.random.default_rng([seed, epoch, shard]))
-            return as_table(shard, len(classes), flat(m, seen))
+            epoch(m, seen, key[order], n[order], class_counts, np.random.default_rng([seed, turn, shard]))
+            return as_table(shard, int(n.sum()), flat(m, seen))
 
         def gather(table: pa.Table) -> pa.Table:
             n, total = mean(triples(table))
@@ -284,13 +333,14 @@ def score(docs: DataFrame, key: str, text: str, train: DataFrame, shortlist: int
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tx.pieces(batch, text):
+            for part in tx.pieces(batch, text, 16 * tx.PIECE_BYTES):
                 hashes, bucket, rows = tokens(*tx.column_bytes(part.column(text)))
-                classes = shared.value.look_up(hashes, bucket)[1]
-                yield pa.RecordBatch.from_arrays([part.column("key"), tx.list_array(classes.astype(np.int32), np.bincount(rows, minlength=part.num_rows))], names=["key", "classes"])
+                found, n = counted(shared.value.look_up(hashes, bucket)[1], rows, shared.value.n_classes)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["key", "n"])
 
-    classified = materialize(train.select(F.xxhash64(key).alias("key"), text).mapInArrow(classify, "key bigint, classes array<int>"))
-    model = spark.sparkContext.broadcast(fit_all(classified, vocab.n, vocab.class_counts))
+    trigrams = materialize(train.select(text).mapInArrow(classify, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    model = spark.sparkContext.broadcast(fit_all(trigrams, vocab.class_counts))
+    discard(trigrams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, m = shared.value, model.value
