@@ -6,7 +6,8 @@ first boundary that both of them found inside the overlap. The pre-token pattern
 from a shared boundary on both chunks agree. A chunk whose overlap shows no shared boundary (one giant
 pre-token) makes its text fall back to a single sequential pass, which is exact too.
 
-Nulls count as empty texts and give an empty list; repeated rows are kept; other columns pass through.
+Nulls count as empty texts and give an empty list; an empty table gives an empty one; repeated rows are
+kept; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._io import materialize, small_batches, spare
 from ._text import list_array
 
 CACHE_PIECES = 1 << 15
@@ -81,6 +83,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     named ``out`` is replaced.
     """
     df = df.drop(out)
+    small_batches(df.sparkSession)
     is_long = F.coalesce(F.length(text), F.lit(0)) > chunk_chars
     fields, names = list(df.schema.fields), df.columns
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
@@ -96,9 +99,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     direct = df.filter(~is_long).mapInArrow(short, schema)
 
-    # Long texts: (row, chunk number, text of the chunk and the overlap behind it).
-    key, n = "__row", "__chunk"
-    long_rows = df.filter(is_long).withColumn(key, F.monotonically_increasing_id())
+    # Long texts: (row, chunk number, text of the chunk and the overlap behind it). They are written with
+    # their numbers first: both sides of the join below must see the same ones, whatever is computed again.
+    key, n = spare(df, "__row", "__chunk")
+    long_rows = materialize(df.filter(is_long).withColumn(key, F.monotonically_increasing_id()))
     parts = (
         long_rows.select(key, F.col(text).alias("__text"), F.explode(F.sequence(F.lit(0), (F.length(text) - 1).cast("int"), F.lit(chunk_chars))).alias(n))
         .select(key, n, F.substring("__text", F.col(n) + 1, F.lit(chunk_chars + overlap)).alias("__part"))
@@ -113,19 +117,20 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
                 ids = [enc.piece(part[a:b]) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row], pa.int64()), pa.array([start], pa.int32()), pa.array([[start + c for c in cuts]], pa.list_(pa.int32())), pa.array([[len(x) for x in ids]], pa.list_(pa.int32())), pa.array([[x for y in ids for x in y]], pa.list_(pa.int32()))],
-                    names=[key, n, "cuts", "sizes", out],
+                    names=[key, n, "cuts", "sizes", "ids"],
                 )
 
-    done = parts.mapInArrow(pretokenise, f"{key} long, {n} int, cuts array<int>, sizes array<int>, {out} array<int>")
-    stitched = done.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(n, "cuts", "sizes", out))).alias("__parts"))
+    done = parts.mapInArrow(pretokenise, f"{key} long, {n} int, cuts array<int>, sizes array<int>, ids array<int>")
+    pieces = spare(long_rows, "__parts")[0]
+    stitched = done.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(n, "cuts", "sizes", "ids"))).alias(pieces))
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                chunks = row.column("__parts").to_pylist()[0]
-                ids = join_chunks([(c["cuts"], c["sizes"], c[out]) for c in chunks])
+                chunks = row.column(pieces).to_pylist()[0]
+                ids = join_chunks([(c["cuts"], c["sizes"], c["ids"]) for c in chunks])
                 if ids is None:
                     ids = enc.encode(row.column(text)[0].as_py())
                 keep = [row.column(c) for c in names]

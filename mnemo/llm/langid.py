@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._io import discard, materialize
+from ._io import discard, materialize, small_batches
 
 MAX_N = 3
 UNDETERMINED = "und"
@@ -148,6 +148,7 @@ def predict(df: DataFrame, lists: list[tuple[str, list[str]]], text: str = "text
     Input columns with these names are replaced.
     """
     df = df.drop(*out)
+    small_batches(df.sparkSession)
     names = [*df.columns, *out]
     schema = T.StructType([*df.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
 
