@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemo.llm import bpe, langid, minhash, rlbwt, winnow
-from mnemo.llm._io import materialize
+from mnemo.llm._io import materialize, spare
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +35,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no run of ten words with the benchmark."""
+    """Documents that share no run of ten words with the benchmark; rows are told apart by id and text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = materialize(winnow.contamination(docs, items).filter("n_hit > 0").select(F.col("id").alias("doc_id")).distinct())
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    own, at, mark = spare(docs, "__own", "__at", "__mark")
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).alias(own), "text")
+    hit = winnow.contamination(keyed, items, own).filter("n_hit > 0").select(F.col("id.id").alias(at), F.col("id.hash").alias(mark))
+    hit = materialize(hit.distinct())
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[at]) & (F.xxhash64(docs["text"]) == hit[mark]), "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
