@@ -228,3 +228,116 @@ def slug(text: Column) -> Column:
 def truncate(text: Column, n: int) -> Column:
     """The first n characters and '...' if there are more."""
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
+
+
+def flexible_epoch(text: Column) -> Column:
+    """Seconds since 1970 of an RFC 3339 time, one without zone (taken as UTC; T or a blank) or a date; else null."""
+    day, clock = r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}:\d{2}"
+    whole = (
+        F.when(F.rlike(text, F.lit(f"^{day}$")), F.concat(text, F.lit("T00:00:00Z")))
+        .when(F.rlike(text, F.lit(f"^{day}[T ]{clock}$")), F.concat(F.replace(text, F.lit(" "), F.lit("T")), F.lit("Z")))
+        .when(F.rlike(text, F.lit(rf"^{day}T{clock}(\.\d+)?(Z|[+-]\d{{2}}:\d{{2}})$")), F.regexp_replace(text, r"\.\d+", ""))
+    )
+    return F.unix_seconds(F.try_to_timestamp(whole, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+
+
+def cjk_query_term(term: Column) -> Column:
+    """A term without CJK as it is; else its parts and bigrams, quoted as a phrase if there are several."""
+    parts = F.regexp_extract_all(term, F.lit(CJK_RUN + "|" + CJK_RUN.replace("[", "[^", 1)), F.lit(0))
+    split = F.transform(parts, lambda x: F.when(F.rlike(x, F.lit(CJK_RUN)), F.array_join(cjk_bigrams(x), " ")).otherwise(x))
+    phrase = F.array_join(split, " ")
+    return F.when(~F.rlike(term, F.lit(CJK_RUN)), term).when(F.contains(phrase, F.lit(" ")), F.concat(F.lit('"'), phrase, F.lit('"'))).otherwise(phrase)
+
+
+# Capitalised words that are no names.
+NO_NAMES = (
+    "What Where When Who Why How Is Are Was Were Do Does Did Would Could Should Will Can May Has Have Had The A An And Or But If In On At To For Of With "
+    "About From Which That This These Those It He She They We I Yes No Not"
+).split()
+
+
+def proper_nouns(query: Column) -> Column:
+    """Distinct capitalised words of two letters or more, without possessive endings."""
+    found = F.regexp_extract_all(query, F.lit("[A-Za-z0-9']+"), F.lit(0))
+    named = F.filter(found, lambda w: F.rlike(w, F.lit("^[A-Z].")) & ~w.isin(NO_NAMES))
+    return F.array_distinct(F.filter(F.transform(named, lambda w: F.regexp_replace(w, "'[sS]$", "")), lambda w: F.length(w) > 1))
+
+
+def name_matches(content: Column, names: Column) -> Column:
+    """How many of the names stand in the content between characters other than ASCII letters (case counts)."""
+    return F.size(F.filter(names, lambda n: F.regexp_like(content, F.concat(F.lit("(^|[^A-Za-z])"), n, F.lit("($|[^A-Za-z])")))))
+
+
+def kebab(text: Column) -> Column:
+    """Letters and digits in lower case, whatever stands between them one hyphen."""
+    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", "-"), F.lit("-"))
+
+
+def short_key(key: Column, default: str, most: int = 60) -> Column:
+    """At most ``most`` characters without hyphens at the ends; ``default`` for an empty key."""
+    return F.coalesce(F.nullif(F.btrim(F.substring(key, 1, most), F.lit("-")), F.lit("")), F.lit(default))
+
+
+# Filler words that say nothing in a key.
+KEY_FILLERS = "this that with from have want need will should would about there which their these those your when what were been into over just like some them then than only".split()
+
+
+def top_words(text: Column, n: int = 3) -> Column:
+    """The first n different words of four bytes or more that are no fillers, without punctuation around them."""
+    low = F.transform(fields(F.lower(text)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", ""))
+    return F.slice(F.array_distinct(F.filter(low, lambda w: (F.octet_length(w) >= 4) & ~w.isin(KEY_FILLERS))), 1, n)
+
+
+def make_key(text: Column, entities: Column | None = None) -> Column:
+    """A key from the first three entities, or else words, of a text."""
+    words = top_words(text)
+    if entities is not None:
+        words = F.when(F.size(entities) > 0, F.slice(entities, 1, 3)).otherwise(words)
+    return short_key(kebab(F.array_join(words, " ")), "note")
+
+
+def dedupe_key(key: Column, n: Column) -> Column:
+    """The key of the n-th further row of that name: -a to -z, then -x."""
+    return F.when(n < 1, key).otherwise(F.concat(key, F.lit("-"), F.when(n > 26, F.lit("x")).otherwise(F.char(F.lit(96) + n))))
+
+
+def user_turns(content: Column) -> Column:
+    """What the lines 'user: ...' of a transcript say."""
+    lines = F.filter(F.split(content, "\n"), lambda x: F.startswith(x, F.lit("user: ")))
+    return F.array_join(F.transform(lines, lambda x: F.substring(x, 7, 1 << 30)), "\n")
+
+
+def highlight(content: Column, terms: Column) -> Column:
+    """Lines of more than ten characters that hold a term, marked by '>>> '."""
+    marked = F.transform(F.split(content, "\n"), lambda x: F.when((F.length(F.btrim(x)) > 10) & F.exists(terms, lambda t: F.contains(F.lower(x), t)), F.concat(F.lit(">>> "), x)).otherwise(x))
+    return F.array_join(marked, "\n")
+
+
+def paragraphs(content: Column) -> Column:
+    """Parts of more than 20 characters between blank lines; a line 'Name: ...' opens a part."""
+    lines = F.transform(F.split(content, "\n"), F.btrim)
+    cut = F.transform(lines, lambda x: F.when((x == "") | F.instr(x, ": ").between(2, 25), F.concat(F.lit("\x01"), x)).otherwise(x))
+    return F.filter(F.transform(F.split(F.array_join(cut, "\n"), "\x01"), lambda p: F.btrim(p, F.lit(" \n\t\r"))), lambda p: F.length(p) > 20)
+
+
+def excerpt(content: Column, terms: Column, most: int = 400) -> Column:
+    """The paragraph with the most terms (the first of several), widened by those behind and before it while they fit.
+
+    A content of at most ``most`` characters is its own excerpt; one without paragraphs is cut.
+    """
+
+    def around(parts: Column) -> Column:
+        hits = F.transform(parts, lambda p: F.size(F.filter(terms, lambda t: F.contains(F.lower(p), t))))
+        best = F.array_position(hits, F.array_max(hits)).cast("int")
+        begin = F.struct(best.alias("lo"), best.alias("hi"), F.length(F.element_at(parts, best)).alias("n"))
+
+        def widen(s: Column, _: Column) -> Column:
+            after, ahead = F.length(F.get(parts, s["hi"])), F.length(F.get(parts, s["lo"] - 2))
+            room = F.lit(most) - s["n"]
+            down = F.struct(s["lo"].alias("lo"), (s["hi"] + 1).alias("hi"), (s["n"] + after).alias("n"))
+            up = F.struct((s["lo"] - 1).alias("lo"), s["hi"].alias("hi"), (s["n"] + ahead).alias("n"))
+            return F.when((s["n"] < most) & (after <= room), down).when((s["n"] < most) & (s["lo"] > 1) & (ahead <= room), up).otherwise(s)
+
+        return F.aggregate(parts, begin, widen, lambda s: F.array_join(F.slice(parts, s["lo"], s["hi"] - s["lo"] + 1), "\n"))
+
+    return F.when(F.length(content) <= most, content).otherwise(bind(paragraphs(content), lambda p: F.when(F.size(p) == 0, F.substring(content, 1, most)).otherwise(around(p))))

@@ -112,3 +112,41 @@ def session_boost(tags: Column, age_hours: Column, wanted: list[str], since_hour
 
 def source_boost(canonical: Column, user: str, factor: float = 1.8) -> Column:
     return F.when(F.lower(canonical) == user.lower(), F.lit(factor)).otherwise(F.lit(1.0))
+
+
+def reserve_hoist(rows: DataFrame, remaining: int) -> DataFrame:
+    """Rows (qid, id, score, tokens, reserved) with ``held`` and ``position``: reserved ones that fit a third of the budget go first.
+
+    Reserved rows claim tokens in order of score; one that no longer fits is passed over, smaller ones behind it may fit.
+    """
+    third = remaining // 3
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    numbered = rows.withColumn("__r", F.row_number().over(w))
+    empty = F.struct(F.lit(0).cast("bigint").alias("claimed"), F.array().cast("array<int>").alias("held"))
+    claim = F.aggregate("__l", empty, lambda s, x: F.when(s["claimed"] + x["tokens"] <= third, F.struct((s["claimed"] + x["tokens"]).alias("claimed"), F.array_append(s["held"], x["__r"]).alias("held"))).otherwise(s), lambda s: s["held"])
+    lists = numbered.filter("reserved").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("__r", "tokens"))).alias("__l")).select("qid", claim.alias("__h"))  # ranked rows only
+    out = numbered.join(lists, "qid", "left").withColumn("held", F.coalesce(F.array_contains("__h", F.col("__r")), F.lit(False)))
+    order = Window.partitionBy("qid").orderBy(F.desc("held"), "__r")
+    return out.withColumn("position", F.row_number().over(order).cast("bigint")).drop("__r", "__h")
+
+
+def compaction_hint(candidates: DataFrame, packed: DataFrame, spaces: DataFrame, active: DataFrame, most: int = 2, crowded: int = 500) -> DataFrame:
+    """(qid, skipped, suggested): more than ``most`` candidates left out, or more than ``crowded`` live rows in the query's namespace.
+
+    ``spaces``: (qid, ns); ``active``: live rows with ns.
+    """
+    taken = packed.groupBy("qid").agg(F.count("*").alias("__in"))
+    counts = active.groupBy("ns").agg(F.count("*").alias("__active"))
+    rows = candidates.groupBy("qid").agg(F.count("*").alias("__all")).join(taken, "qid", "left").join(spaces, "qid", "left").join(counts, "ns", "left")
+    skipped = F.col("__all") - F.coalesce("__in", F.lit(0))
+    return rows.select("qid", skipped.alias("skipped"), ((skipped > most) | (F.coalesce("__active", F.lit(0)) > crowded)).alias("suggested"))
+
+
+def stage_counts(**stages: DataFrame) -> DataFrame:
+    """(qid, stages): rows of each query after each stage, 'a=3 b=12' in order of the stages' names."""
+    rows = None
+    for name in sorted(stages):
+        part = stages[name].groupBy("qid").agg(F.count("*").alias("n")).withColumn("stage", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stage", "n"))), lambda x: F.concat(x["stage"], F.lit("="), x["n"].cast("string"))), " ")
+    return rows.groupBy("qid").agg(text.alias("stages"))

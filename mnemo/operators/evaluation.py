@@ -67,3 +67,28 @@ def hit_by_substring(ranked: DataFrame, docs: DataFrame, answers: DataFrame, k:
     """(qid, first): rank of the first of k results whose text holds the expected answer."""
     rows = ranked.filter(F.col("rank") <= k).join(docs.select("id", "content"), "id").join(answers, "qid")
     return rows.filter(F.contains(F.lower("content"), F.lower("answer"))).groupBy("qid").agg(F.min("rank").alias("first"))
+
+
+def covered_metrics(expected: DataFrame, returned: DataFrame, contains: DataFrame) -> DataFrame:
+    """(qid, precision, recall) of (qid, id) rows, where a returned parent counts for the expected children it holds.
+
+    A returned row is relevant if it is expected or else the parent of an expected one; an expected row is
+    found if it is returned or a returned row that is not itself expected holds it. ``contains``: (a, b).
+    """
+    expected, returned = expected.select("qid", "id").distinct(), returned.select("qid", "id").distinct()
+    other = returned.join(expected, ["qid", "id"], "left_anti")
+    cover = other.join(contains.select(F.col("a").alias("id"), F.col("b").alias("child")).distinct(), "id").join(expected.select("qid", F.col("id").alias("child")), ["qid", "child"], "left_semi")
+    direct = returned.join(expected, ["qid", "id"], "left_semi")
+    relevant = direct.union(cover.select("qid", "id").distinct()).groupBy("qid").agg(F.count("*").alias("r"))
+    hits = direct.union(cover.select("qid", F.col("child").alias("id"))).distinct().groupBy("qid").agg(F.count("*").alias("h"))
+    rows = expected.groupBy("qid").agg(F.count("*").alias("e")).join(returned.groupBy("qid").agg(F.count("*").alias("n")), "qid", "full")
+    rows = rows.join(relevant, "qid", "left").join(hits, "qid", "left").na.fill(0)
+    return rows.select("qid", F.when(F.col("n") > 0, F.col("r") / F.col("n")).otherwise(0.0).alias("precision"), F.when(F.col("e") > 0, F.col("h") / F.col("e")).otherwise(0.0).alias("recall"))
+
+
+def report_lines(rows: DataFrame, group: str, metrics: list[str]) -> DataFrame:
+    """(group, line): a table line of each group with its number of rows and the mean of each metric in percent."""
+    means = [F.floor(F.avg(m) * 100 + 0.5).cast("bigint").cast("string") for m in metrics]
+    cells = [F.col(group).cast("string"), F.col("__n").cast("string"), *(F.concat(F.col(f"__{m}"), F.lit("%")) for m in metrics)]
+    found = rows.groupBy(group).agg(F.count("*").alias("__n"), *(x.alias(f"__{m}") for x, m in zip(means, metrics, strict=True)))
+    return found.select(group, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))

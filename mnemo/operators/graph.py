@@ -201,3 +201,41 @@ def capped(pairs: DataFrame, weight: str, k: int = 8) -> DataFrame:
 
 def fan_out_ok(children: Column, most: int = 12) -> Column:
     return children <= most
+
+
+def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges without those named by (a, b, rel)."""
+    return edges.join(gone.select("a", "b", "rel").distinct(), ["a", "b", "rel"], "left_anti")
+
+
+def parent_boost(seeds: DataFrame, edges: DataFrame, rows: DataFrame, most: int = 12, least: float = 0.3) -> DataFrame:
+    """(qid, id, score): contains-parents of seeds (qid, id, score) that are no seeds, at the best child's score.
+
+    Parents of more than ``most`` children and dormant ones stay out; ``rows``: live rows with id and tier.
+    """
+    child = edges.filter("rel = 'contains'").select(F.col("a").alias("parent"), F.col("b").alias("id")).distinct()
+    small = child.groupBy("parent").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("parent")
+    up = seeds.join(child.join(small, "parent"), "id").groupBy("qid", F.col("parent").alias("id")).agg(F.greatest(F.lit(least), F.max("score")).alias("score"))
+    awake = rows.filter("tier <> 'dormant'").select("id")
+    return up.join(seeds.select("qid", "id"), ["qid", "id"], "left_anti").join(awake, "id", "left_semi").select("qid", "id", "score")
+
+
+def force_contradictions(seeds: DataFrame, edges: DataFrame, rows: DataFrame, share: float = 0.8) -> DataFrame:
+    """(qid, id, score): what contradicts a seed over its best edges, either way, at ``share`` of the seed's score."""
+    steps = best_edges(directed(edges)).filter("rel = 'contradicts' AND seed <> far").select(F.col("seed").alias("id"), "far")
+    found = seeds.join(steps, "id").groupBy("qid", F.col("far").alias("id")).agg((F.max("score") * share).alias("score"))
+    awake = rows.filter("tier <> 'dormant'").select("id")
+    return found.join(seeds.select("qid", "id"), ["qid", "id"], "left_anti").join(awake, "id", "left_semi").select("qid", "id", "score")
+
+
+def resurrections(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """(seed, id, rel): dormant neighbours that return with an awake seed.
+
+    A contradicting row is the from side and newer than what it refutes; what a seed depends on or is
+    prevented by is the to side. ``rows``: live rows with id, tier and age_hours.
+    """
+    about = lambda side: rows.select(F.col("id").alias(side), F.col("tier").alias(f"{side}_tier"), F.col("age_hours").alias(f"{side}_age"))
+    both = edges.join(about("a"), "a").join(about("b"), "b")
+    refuted = both.filter("rel = 'contradicts' AND a_tier = 'dormant' AND b_tier <> 'dormant' AND a_age < b_age").select(F.col("b").alias("seed"), F.col("a").alias("id"), "rel")
+    needed = both.filter("rel IN ('depends_on', 'prevents') AND b_tier = 'dormant' AND a_tier <> 'dormant'").select(F.col("a").alias("seed"), F.col("b").alias("id"), "rel")
+    return refuted.union(needed)

@@ -324,3 +324,50 @@ def ttl_seconds(ttl: Column) -> Column:
     n = F.regexp_extract(ttl, r"^(\d+)[dhms]$", 1)
     unit = F.regexp_extract(ttl, r"^\d+([dhms])$", 1)
     return F.when(n != "", n.cast("bigint") * S.choose(unit, {"d": 86400, "h": 3600, "m": 60}, 1)).otherwise(F.lit(None).cast("bigint"))
+
+
+def remove_tag(tags: Column, tag: str) -> Column:
+    """Tags without one; the read-only bit cannot be removed in bulk."""
+    if tag == "locked":
+        raise ValueError("'locked' is the read-only bit; unlock rows one by one")
+    return F.array_remove(tags, tag)
+
+
+def remove_namespace(rows: DataFrame, ns: str, hard: bool = False) -> DataFrame:
+    """Rows of a namespace and those below it marked as ``deleted``, or with ``hard`` left out."""
+    gone = F.coalesce((F.col("ns") == ns) | F.startswith(F.col("ns"), F.lit(f"{ns}:")), F.lit(False))
+    if hard:
+        return rows.filter(~gone)
+    return rows.withColumn("deleted", F.coalesce(F.col("deleted"), F.lit(False)) | gone if "deleted" in rows.columns else gone)
+
+
+def credit(rows: DataFrame, credits: DataFrame) -> DataFrame:
+    """Rows with utility_count raised by the number of their credits (id); those of unknown ids change nothing."""
+    n = credits.groupBy("id").agg(F.count("*").alias("__n"))
+    return rows.join(n, "id", "left").withColumn("utility_count", F.col("utility_count") + F.coalesce("__n", F.lit(0))).drop("__n")
+
+
+def carry_over(versions: DataFrame, log: DataFrame) -> DataFrame:
+    """(id, accesses, access_count) of the newest version of each slot after it took over its predecessors' log.
+
+    ``versions``: (id, ns, key, version, access_count); ``log``: one row an access (id). Log rows move to
+    the newest version; where there are older ones its count becomes the greatest of theirs.
+    """
+    newest = versions.groupBy("ns", "key").agg(F.max(F.struct("version", "id", "access_count")).alias("x")).select("ns", "key", F.col("x.version").alias("top"), F.col("x.id").alias("new"), F.col("x.access_count").alias("own"))
+    moved = log.join(versions.select("id", "ns", "key"), "id").groupBy("ns", "key").agg(F.count("*").alias("accesses"))
+    older = versions.join(newest.select("ns", "key", "top"), ["ns", "key"]).filter(F.col("version") < F.col("top")).groupBy("ns", "key").agg(F.max("access_count").alias("before"))
+    rows = newest.join(moved, ["ns", "key"], "left").join(older, ["ns", "key"], "left")
+    return rows.select(F.col("new").alias("id"), F.coalesce("accesses", F.lit(0)).alias("accesses"), F.coalesce("before", "own").alias("access_count"))
+
+
+def invalidate(versions: DataFrame, marks: DataFrame) -> DataFrame:
+    """Versions with ``valid_to`` stamped on the latest live one of each marked slot (ns, key, at), unless it has one."""
+    last = versions.filter("NOT deleted").groupBy("ns", "key").agg(F.max("version").alias("version"))
+    hit = marks.groupBy("ns", "key").agg(F.min("at").alias("__at")).join(last, ["ns", "key"])
+    return versions.join(hit, ["ns", "key", "version"], "left").withColumn("valid_to", F.coalesce("valid_to", F.when(~F.col("deleted"), F.col("__at")))).drop("__at")
+
+
+def seed_rules(spaces: DataFrame, existing: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """(ns, rule, priority) of every namespace: what exists, and the built-in rules that are missing there."""
+    built_in = spaces.select("ns").distinct().withColumn("x", F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule"), F.lit(r.priority).alias("priority")) for r in rules or RULES]))).select("ns", "x.rule", "x.priority")
+    return existing.select("ns", "rule", "priority").union(built_in.join(existing, ["ns", "rule"], "left_anti").select("ns", "rule", "priority"))

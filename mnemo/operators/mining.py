@@ -222,3 +222,20 @@ def speaker_turns(turns: DataFrame, target: int = 500, least: int = 50) -> DataF
     both = placed.select("id", "role", "turn", "text", F.explode(F.array_compact(F.array("window", later))).alias("window"))
     out = both.groupBy("id", F.col("role").alias("speaker"), "window").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
     return out.select("id", "speaker", "window", F.expr("array_join(transform(l, x -> x.text), '\n')").alias("text")).filter(F.octet_length("text") >= least)
+
+
+def numbered_keys(rows: DataFrame, key: str = "key", order: str = "id", group: str = "ns") -> DataFrame:
+    """Rows whose keys are unique in their namespace up to the 26th of a name (later ones end in -x).
+
+    Only the first 27 rows of a name are numbered, so a name that very many rows share is never sorted whole.
+    """
+    w = Window.partitionBy(group, key).orderBy(order)
+    first = rows.select(group, key, order).withColumn("__n", F.row_number().over(w)).filter("__n <= 27").select(F.col(order), (F.col("__n") - 1).alias("__n"))
+    out = rows.join(first, order, "left").withColumn("__n", F.coalesce("__n", F.lit(27)))
+    return out.withColumn(key, X.dedupe_key(F.col(key), F.col("__n"))).drop("__n")
+
+
+def mined_memories(patterns: DataFrame) -> DataFrame:
+    """(key, kind, content, importance, support) of mined step sequences 'a>b'."""
+    key = X.short_key(X.kebab(F.col("pattern")), "steps")
+    return patterns.select(key.alias("key"), F.lit("procedural").alias("kind"), F.replace(F.col("pattern"), F.lit(">"), F.lit(" -> ")).alias("content"), "importance", "support")

@@ -58,17 +58,22 @@ def substring_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "id
     """(qid, id, hits, rank): documents that hold a query term as a substring, newest first.
 
     A term of at least three characters is found through its words' trigrams: a document is a candidate
-    for a term if it has all trigrams of the term; the substring test follows on candidates only.
+    for a term if it has all trigrams of the term; the substring test follows on candidates only. Shorter
+    terms (of three bytes or more, so none of ASCII letters) meet the short grams of the other words.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-    terms = queries.select("qid", F.explode(F.array_distinct(X.content_terms(F.col("query")))).alias("term")).filter(F.length("term") >= 3)
-    pairs = terms.select("term").distinct().select("term", F.explode(grams(F.col("term"))).alias("gram"))
+    terms = queries.select("qid", F.explode(F.array_distinct(X.content_terms(F.col("query")))).alias("term"))
+    pairs = terms.filter(F.length("term") >= 3).select("term").distinct().select("term", F.explode(grams(F.col("term"))).alias("gram"))
     need = pairs.groupBy("term").agg(F.count("*").alias("need"))
     low = docs.select(key, age, F.lower(text).alias("low"))
     # Fields keep punctuation, as terms do inside; a term never holds white space.
-    vocabulary = low.select(F.explode(X.fields(F.col("low"))).alias("word")).filter(F.length("word") >= 3).distinct()
-    found = vocabulary.select("word", F.explode(grams(F.col("word"))).alias("gram")).join(pairs, "gram").groupBy("word", "term").agg(F.count("*").alias("n"))
+    vocabulary = low.select(F.explode(X.fields(F.col("low"))).alias("word")).distinct()
+    found = vocabulary.filter(F.length("word") >= 3).select("word", F.explode(grams(F.col("word"))).alias("gram")).join(pairs, "gram").groupBy("word", "term").agg(F.count("*").alias("n"))
     matched = found.join(need, "term").filter("n = need").filter(F.contains("word", "term")).select("word", "term")
+    few = F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1, F.lit(1)), lambda i: F.substring("word", i, n))))
+    wide = vocabulary.filter((F.octet_length("word") > F.length("word")) & (F.length("word") > 1)).select("word", F.explode(F.array_distinct(few)).alias("term"))
+    wide = wide.union(vocabulary.filter(F.length("word") == 1).select("word", "word"))
+    matched = matched.union(wide.join(terms.filter(F.length("term") < 3).select("term").distinct(), "term").select("word", "term"))
     hits = low.select(F.col(key).alias("id"), age, F.explode(F.array_distinct(X.fields(F.col("low")))).alias("word")).join(matched, "word").select("id", age, "term").distinct()
     per = hits.join(terms, "term").groupBy("qid", "id", age).agg(F.countDistinct("term").alias("hits"))
     w = Window.partitionBy("qid").orderBy(age, "id")
@@ -78,15 +83,16 @@ def substring_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "id
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, floor: float = 0.2, block: int = 2048) -> DataFrame:
     """(qid, id, score, rank): the k nearest unit vectors of each query vector by cosine, exact.
 
-    Queries go in blocks of at most ``block`` rows, each a broadcast of bounded size that tasks multiply
-    with their own rows; a task keeps k rows per query before anything is shuffled.
+    Queries go in blocks of about ``block`` rows, each a broadcast that tasks multiply with slices of
+    their own rows; a task keeps k rows per query before anything is shuffled. Equal query rows count once;
+    rows that share an id but not the vector are dealt to blocks apart, and their answers are ranked together.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    placed = queries.select(F.col("id").alias("qid"), "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
+    asked = queries.select(F.col("id").alias("qid"), "v").distinct()
+    blocks = max(1, -(-asked.count() // block))
+    placed = asked.withColumn("b", F.pmod(F.xxhash64("qid", "v"), F.lit(blocks)))
     out: DataFrame | None = None
     for b in range(blocks):
-        got = placed.filter(F.col("b") == b).orderBy("qid").limit(4 * block).collect()  # hash-dealt: about ``block`` rows
+        got = placed.filter(F.col("b") == b).orderBy("qid").collect()  # distinct and hash-dealt: about ``block`` rows
         if not got:
             continue
         ids = np.array([r["qid"] for r in got], np.int64)
@@ -96,9 +102,10 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, floor: float =
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
             best: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for batch in batches:
-                own = batch.column("id").to_numpy(zero_copy_only=False)
-                rows = batch.column("v").values.to_numpy(zero_copy_only=False).reshape(len(own), -1)
+            parts = (batch.slice(at, 1024) for batch in batches for at in range(0, batch.num_rows, 1024))
+            for part in parts:
+                own = part.column("id").to_numpy(zero_copy_only=False)
+                rows = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
                 cosine = rows @ matrix
                 at, q = np.nonzero(cosine >= floor)
                 q_all = np.concatenate((best[0], q))
@@ -217,3 +224,77 @@ def rerank(ranked: DataFrame, docs: DataFrame, queries: DataFrame, scorer: Colum
     best = rows.groupBy("qid", "id", "before").agg(F.round(F.max(scorer), 6).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "before")
     return best.select("qid", "id", "score", F.row_number().over(w).cast("bigint").alias("rank"))
+
+
+def fts_order(matched: DataFrame, docs: DataFrame, queries: DataFrame, k: int, temporal: Column | None = None) -> DataFrame:
+    """(qid, id, score, rank) of BM25 rows (qid, id, score) by priority, age and text rank together.
+
+    A question about time weighs age (0.7) over text (0.2), others text (0.5) over age (0.3).
+    ``temporal``: what tells such questions, by default their words; all matches are scored.
+    """
+    asked = queries.select("qid", (X.is_temporal(F.col("query")) if temporal is None else temporal).alias("t"))
+    rows = matched.select("qid", "id", F.col("score").alias("text")).join(docs.select("id", "age_hours", "priority"), "id").join(asked, "qid")
+    level = F.when(F.col("priority") == "critical", 4).when(F.col("priority") == "high", 3).when(F.col("priority") == "normal", 2).otherwise(1)
+    age = 1.0 / (1.0 + F.col("age_hours") / 24.0 / 7.0)
+    score = level * 0.1 + age * F.when(F.col("t"), 0.7).otherwise(0.3) + F.col("text") * F.when(F.col("t"), 0.2).otherwise(0.5)
+    return top(rows.select("qid", "id", F.round(score, 6).alias("score")), k)
+
+
+def rerank_skips(ranked: DataFrame, queries: DataFrame, ratio: float = 1.5) -> DataFrame:
+    """(qid, lead, temporal, skip): questions whose re-ranking is not worth it.
+
+    These ask about time, or the fused score of their first row is at least ``ratio`` times that of the second.
+    """
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    two = ranked.withColumn("r", F.row_number().over(w)).filter("r <= 2")
+    lead = two.groupBy("qid").agg((F.max(F.when(F.col("r") == 1, F.col("score"))) / F.max(F.when(F.col("r") == 2, F.col("score")))).alias("lead"))
+    rows = lead.join(queries.select("qid", X.is_temporal(F.col("query")).alias("temporal")), "qid")
+    return rows.withColumn("skip", F.col("temporal") | F.coalesce(F.col("lead") >= ratio, F.lit(False)))
+
+
+def mmr_vectors(ranked: DataFrame, vectors: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
+    """(qid, id, rank): greedy choice by score less the cosine with what was chosen (unit vectors; none counts as 0).
+
+    Works on the ranked rows of one query at a time, whose number the ranking bounds.
+    """
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["rank"]).reset_index(drop=True)
+        width = max((len(v) for v in rows["v"] if v is not None), default=1)
+        m = np.array([v if v is not None else np.zeros(width) for v in rows["v"]])
+        top_score = rows["score"].max() or 1.0
+        order = _mmr((rows["score"] / top_score).to_numpy(), m @ m.T, k, weight)
+        return pd.DataFrame({"qid": rows["qid"].iloc[order].to_numpy(), "id": rows["id"].iloc[order].to_numpy(), "rank": np.arange(1, len(order) + 1)})
+
+    rows = ranked.join(vectors.select("id", "v"), "id", "left").select("qid", "id", "rank", "score", "v")
+    return rows.groupBy("qid").applyInPandas(run, "qid bigint, id bigint, rank bigint")
+
+
+def bridges(ranked: DataFrame, docs: DataFrame, queries: DataFrame, seeds: int = 5, n: int = 5) -> DataFrame:
+    """(qid, bridge, weight): what leads on from the first results and the question does not name.
+
+    Entities of a result weigh 2 a mention, each of the last three words of its first sentence 1; the n
+    greatest sums of a question stay (ties by text).
+    """
+    from mnemo.operators.mining import entities
+
+    first = ranked.filter(F.col("rank") <= seeds).select("qid", "id").join(queries.select("qid", F.lower("query").alias("asked")), "qid")
+    texts = docs.select("id", "content").join(first.select("id").distinct(), "id", "left_semi")
+    named = entities(texts).select("id", F.col("entity").alias("bridge"), (F.col("n") * 2).alias("w"))
+    said = F.slice(F.reverse(X.fields(F.substring_index(F.translate("content", "!?\n", "..."), ".", 1))), 1, 3)
+    tail = texts.select("id", F.explode(F.transform(said, lambda x: F.lower(F.btrim(x, F.lit(".,!?;:\"'"))))).alias("bridge"), F.lit(1).cast("bigint").alias("w"))
+    both = first.join(named.unionByName(tail), "id").filter((F.octet_length("bridge") >= 3) & ~F.contains("asked", "bridge") & ~F.col("bridge").isin(X.STOP_WORDS))
+    total = both.groupBy("qid", "bridge").agg(F.sum("w").alias("weight"))
+    w = Window.partitionBy("qid").orderBy(F.desc("weight"), "bridge")
+    return total.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).select("qid", "bridge", "weight", F.col("r").cast("bigint").alias("r"))
+
+
+def hop2(ranked: DataFrame, docs: DataFrame, queries: DataFrame, seeds: int = 5, n: int = 5, added: int = 10) -> DataFrame:
+    """(qid, id, bridge, rank): up to ``added`` further results, from one search for each bridge of a question."""
+    led = bridges(ranked, docs, queries, seeds, n).withColumn("q", F.concat_ws(":", F.col("qid").cast("string"), F.col("r").cast("string")))
+    found = bm25_search(docs, led.select(F.col("q").alias("qid"), F.col("bridge").alias("query")), added // 2 + 1).select(F.col("qid").alias("q"), "id", F.col("rank").alias("own"))
+    rows = found.join(led.select("q", "qid", "bridge", "r"), "q").join(ranked.select("qid", "id"), ["qid", "id"], "left_anti")
+    best = rows.groupBy("qid", "id").agg(F.min(F.struct("r", "own", "bridge")).alias("x")).select("qid", "id", "x.*")
+    w = Window.partitionBy("qid").orderBy("r", "own", "id")
+    return best.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= added).select("qid", "id", "bridge", "rank")

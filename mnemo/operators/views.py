@@ -103,3 +103,23 @@ def pinned_scan(rows: DataFrame) -> DataFrame:
 def by_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Live rows of a table of ids."""
     return rows.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def resolve(versions: DataFrame, slots: DataFrame) -> DataFrame:
+    """(ns, key, id): the latest live version of each asked slot; id is null where there is none."""
+    return slots.select("ns", "key").distinct().join(latest_live(versions).select("ns", "key", "id"), ["ns", "key"], "left")
+
+
+def edge_counts(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows with how many edges leave and reach them (n_out, n_in)."""
+    leave = edges.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_out"))
+    reach = edges.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n_in"))
+    out = rows.join(leave, "id", "left").join(reach, "id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_out", "n_in")})
+
+
+def namespace_graph(rows: DataFrame, edges: DataFrame, pattern: str) -> DataFrame:
+    """(from_key, to_key, rel, weight) of the edges between rows of one namespace."""
+    own = rows.filter(in_namespace("ns", pattern)).select("id", "key")
+    both = edges.join(own.select(F.col("id").alias("a"), F.col("key").alias("from_key")), "a").join(own.select(F.col("id").alias("b"), F.col("key").alias("to_key")), "b")
+    return both.select("a", "b", "from_key", "to_key", "rel", "weight").distinct().select("from_key", "to_key", "rel", "weight")

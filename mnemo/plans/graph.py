@@ -74,34 +74,21 @@ def _ppr_sql(rounds: int) -> str:
     ]
     for i in range(1, rounds + 1):
         parts.append(f"r{i} AS MATERIALIZED (SELECT id, sum(mass) AS mass FROM (SELECT b AS id, mass * p * 0.5 AS mass FROM r{i - 1} JOIN wk ON wk.a = r{i - 1}.id UNION ALL SELECT id, mass * 0.5 FROM r0) GROUP BY 1)")
-    return ",\n".join(parts) + f" SELECT id, round(mass, 6) AS mass FROM r{rounds} WHERE mass >= 0.0001"
+    return ",\n".join(parts) + f" SELECT id, round(mass, 6) AS mass FROM r{rounds}"
 
 
 @query(_ppr_sql(20))
 def pagerank_personalized(t):
     start = t.documents.filter("doc_id % 100 = 7").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3 + 1).cast("double").alias("mass"))
-    return G.pagerank(start, edges(t)).filter("mass >= 0.0001").select("id", F.round("mass", 6).alias("mass"))
+    return G.pagerank(start, edges(t)).select("id", F.round("mass", 6).alias("mass"))
 
 
-@query(None)
-def pagerank_personalized_all(t):
-    """Every node with mass, unrounded; ``pagerank_personalized`` has the floor of its SQL."""
-    start = t.documents.filter("doc_id % 100 = 7").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3 + 1).cast("double").alias("mass"))
-    return G.pagerank(start, edges(t))
+COMPONENT_SQL = f"""{EDGE_SQL}, u AS (SELECT a, b FROM e WHERE rel = 'relates_to' AND a <> b UNION SELECT b, a FROM e WHERE rel = 'relates_to' AND a <> b),
+r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b), c AS (SELECT a AS id, least(a, min(b)) AS comp FROM r GROUP BY a)"""
 
 
-@query(f"""WITH RECURSIVE {EDGE_SQL}, u AS (SELECT a, b FROM e WHERE a % 10 < 4 AND b = a // 2 UNION SELECT b, a FROM e WHERE a % 10 < 4 AND b = a // 2),
-r AS (SELECT a, b FROM u WHERE a <> b UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b), c AS (SELECT a AS id, least(a, min(b)) AS comp FROM r GROUP BY a)
-SELECT id, comp, count(*) OVER (PARTITION BY comp) AS size FROM c""")
+@query(f"WITH RECURSIVE {COMPONENT_SQL} SELECT id, comp, count(*) OVER (PARTITION BY comp) AS size FROM c")
 def components(t):
-    found = G.components(edges(t).filter("a % 10 < 4 AND b = a DIV 2"))
-    sizes = found.groupBy("comp").agg(F.count("*").alias("size"))
-    return found.join(sizes, "comp").select("id", "comp", "size")
-
-
-@query(None)
-def components_relates_to(t):
-    """Components over every relates_to edge; ``components`` has only the edges that its recursive SQL names."""
     found = G.components(edges(t).filter("rel = 'relates_to'"))
     sizes = found.groupBy("comp").agg(F.count("*").alias("size"))
     return found.join(sizes, "comp").select("id", "comp", "size")

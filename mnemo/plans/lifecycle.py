@@ -11,7 +11,7 @@ from mnemo.operators import lifecycle as L
 from mnemo.operators import search as R
 from mnemo.sources.tables import NOW, VEC_SQL, live_sql, mem_sql
 
-from .graph import EDGE_SQL, edges
+from .graph import COMPONENT_SQL, EDGE_SQL, edges
 from .registry import query
 from .retrieval import asked
 
@@ -152,16 +152,9 @@ def leader_clusters(t):
     return L.leader_clusters(t.vectors().withColumn("g", (F.col("label") % 4).cast("bigint")), "g", 0.38)
 
 
-@query(f"""WITH RECURSIVE {EDGE_SQL}, u AS (SELECT a, b FROM e WHERE a % 10 < 4 AND b = a // 2 UNION SELECT b, a FROM e WHERE a % 10 < 4 AND b = a // 2),
-r AS (SELECT a, b FROM u WHERE a <> b UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b), c AS (SELECT a AS id, least(a, min(b)) AS comp FROM r GROUP BY a), k AS (SELECT DISTINCT b AS id FROM e WHERE rel = 'contains')
+@query(f"""WITH RECURSIVE {COMPONENT_SQL}, k AS (SELECT DISTINCT b AS id FROM e WHERE rel = 'contains')
 SELECT comp, count(*) AS n, count(*) FILTER (WHERE k.id IS NULL) AS orphans FROM c LEFT JOIN k USING (id) GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (WHERE k.id IS NULL) * 2 > count(*)""")
 def consolidation_candidates(t):
-    e = edges(t)
-    return L.consolidations(G.components(e.filter("a % 10 < 4 AND b = a DIV 2")), e.filter("rel = 'contains'"))
-
-
-@query(None)
-def consolidation_candidates_relates_to(t):
     e = edges(t)
     return L.consolidations(G.components(e.filter("rel = 'relates_to'")), e.filter("rel = 'contains'"))
 

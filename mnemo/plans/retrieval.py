@@ -33,7 +33,7 @@ def terms(column: str) -> str:
 VECTOR = f"""v AS ({VEC_SQL}),
 vr AS (SELECT * FROM (SELECT q.id AS qid, d.id, round(list_cosine_similarity(q.v, d.v), 6) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.v, d.v), 6) DESC, d.id) AS rank
  FROM v q JOIN v d ON q.id <> d.id AND q.id % 50 = 0 WHERE list_cosine_similarity(q.v, d.v) >= 0.2) WHERE rank <= 10)"""
-LIKE = f"""lt AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest({terms('query')}) AS term FROM q) WHERE length(term) >= 3),
+LIKE = f"""lt AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest({terms('query')}) AS term FROM q)),
 lk AS (SELECT qid, m.id, m.age_hours, count(*) AS hits FROM lt, m WHERE contains(lower(m.content), term) GROUP BY 1, 2, 3),
 lkr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY age_hours, id) AS rank FROM lk)"""
 FUSED = """f AS (SELECT qid, id, sum(1.0::DOUBLE / (20 + rank)) AS score FROM (SELECT qid, id, rank FROM bmr WHERE rank <= 50 UNION ALL SELECT qid, id, rank FROM lkr WHERE rank <= 50) GROUP BY 1, 2)"""
