@@ -5,9 +5,10 @@ compressed sizes over their sum is calibrated to the probability of a good label
 on further labelled rows that the dictionaries have not seen.
 
 Training collects at most about ``sample`` labelled rows of each label for the dictionaries and as many
-again for the calibration, chosen by a hash of the id, each of at most ``max_chars`` characters (longer
-rows are left out of training); all three are parameters. Scoring reads whole texts. Null and empty
-texts have difference 0. If a label is missing from training, every text gets the mean label.
+again for the calibration, chosen by a hash of the id, with their whole texts; both are parameters. Scoring
+reads whole texts. Null and empty texts have difference 0. If a label is missing from training, every text
+gets the mean label. Repeated rows are kept, and learned from as often as they stand there; an id with two
+labels counts under both. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return at, np.maximum.accumulate(p)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = 2000, max_chars: int = 20000, dict_bytes: int = 1 << 16) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = 2000, dict_bytes: int = 1 << 16) -> Model:
     """Fit on ``docs`` (key, text) that ``labels`` (key, 0/1 label) marks; only sampled labels meet the texts."""
     at = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20))
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), at.alias("at"))
@@ -84,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s
     limit = F.when(F.col("label") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)) * float(1 << 20)
     few = materialize(known.filter(F.col("at") < limit))  # about 4 x sample rows
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(few), "key")
-    texts = texts.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars) & (F.length("text") > 0))
+    texts = texts.filter(F.col("text").isNotNull() & (F.length("text") > 0))
     got = texts.select("text", "label", "key", "at").toPandas().sort_values(["at", "key", "text"])
     if set(got["label"]) != {0, 1}:
         mean = float(got["label"].mean()) if len(got) else 0.5
