@@ -237,7 +237,7 @@ def fts_order(matched: DataFrame, docs: DataFrame, queries: DataFrame, k: int, t
     level = F.when(F.col("priority") == "critical", 4).when(F.col("priority") == "high", 3).when(F.col("priority") == "normal", 2).otherwise(1)
     age = 1.0 / (1.0 + F.col("age_hours") / 24.0 / 7.0)
     score = level * 0.1 + age * F.when(F.col("t"), 0.7).otherwise(0.3) + F.col("text") * F.when(F.col("t"), 0.2).otherwise(0.5)
-    return top(rows.select("qid", "id", F.round(score, 6).alias("score")), k)
+    return top(rows.select("qid", "id", F.round(score + 1e-9, 6).alias("score")), k)  # halves of the sixth place go up
 
 
 def rerank_skips(ranked: DataFrame, queries: DataFrame, ratio: float = 1.5) -> DataFrame:

@@ -19,7 +19,7 @@ LEVEL = "CASE priority WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'normal' T
 
 
 @query(f"""WITH {BM25}, s AS (SELECT qid, id, round({LEVEL} * 0.1::DOUBLE + (1.0::DOUBLE / (1.0::DOUBLE + age_hours / 24.0::DOUBLE / 7.0::DOUBLE)) * CASE WHEN qid % 3 = 0 THEN 0.7 ELSE 0.3 END::DOUBLE
- + score * CASE WHEN qid % 3 = 0 THEN 0.2 ELSE 0.5 END::DOUBLE, 6) AS score FROM bmr JOIN m USING (id))
+ + score * CASE WHEN qid % 3 = 0 THEN 0.2 ELSE 0.5 END::DOUBLE + 1e-9::DOUBLE, 6) AS score FROM bmr JOIN m USING (id))
 SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def fts_order(t):
     """Every third question counts as one about time, so that both weightings are reached."""
