@@ -5,9 +5,9 @@ are classes of their own, all others share ``BUCKETS`` classes by their last two
 predicts the next class from the embeddings of the last two, each through a matrix of its position;
 within a bucket words follow the smoothed unigram distribution. Its weights are fitted on all training
 rows through what the model can see of them: the counts of all class trigrams, by grouped sums. These are
-dealt by context to shards of about ``SHARD`` presentations, every task takes an epoch over its shard from
-the same weights, and the results are averaged by tokens (in two steps, so that the driver gathers the
-square root of the number of shards) before the next epoch. The first weights are random, with the class
+dealt by context and written once; every task takes an epoch over its part of the table (``SHARD`` trigrams
+at a time) from the same weights, and the results are averaged by tokens (in two steps, so that the driver
+gathers the square root of the number of parts) before the next epoch. The first weights are random, with the class
 frequencies as bias.
 
 Scoring normalises over all classes with batched matrix products, once per distinct context in a piece
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from ._io import discard, materialize
 BUCKETS = 256
 END = np.uint64(0x5EED0E2DE2D0E2D1)
 SMOOTH = 0.1
-#: Mean presentations of a shard: what one task learns from between two averages.
+#: Trigrams that a task holds and shuffles at a time.
 SHARD = 1 << 19
 #: Most tokens that one presentation of a trigram stands for.
 WEIGHT = 8
@@ -273,11 +274,9 @@ def fit(classes: np.ndarray, rows: np.ndarray, class_counts: np.ndarray, epochs:
 
 
 def fit_all(trigrams: DataFrame, class_counts: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Model:
-    """The model of all trigrams (key, n); what each shard learns depends on its trigrams only, not on how they were stored."""
+    """The model of all trigrams (key, n) of a written table, whose tasks are the shards."""
     spark = trigrams.sparkSession
-    k = len(class_counts)
-    steps = trigrams.agg(F.sum(F.ceil(F.col("n") / WEIGHT))).first()[0] or 0
-    shards = max(1, -(-steps // SHARD))
+    shards = max(1, -(-trigrams.count() // SHARD))  # about
     m, seen = start(class_counts, seed=seed)
     shapes = [a.shape for a in [*(getattr(m, x) for x in WEIGHTS), *(seen[x] for x in WEIGHTS)]]
     cuts = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
@@ -299,23 +298,35 @@ def fit_all(trigrams: DataFrame, class_counts: np.ndarray, epochs: int = EPOCHS,
     schema = "shard bigint, n bigint, state binary"
     as_table = lambda shard, n, state: pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([n], pa.int64()), "state": pa.array([state.tobytes()], pa.binary())})
     triples = lambda t: list(zip(t["shard"].to_pylist(), t["n"].to_pylist(), t["state"].to_pylist(), strict=True))
-    dealt = trigrams.withColumn("shard", F.pmod(F.xxhash64(F.expr(f"key DIV {k}")), F.lit(shards)))
     for turn in range(epochs):
         state = spark.sparkContext.broadcast(flat(m, seen))
 
-        def run(table: pa.Table) -> pa.Table:
-            key, n = table["key"].to_numpy(), table["n"].to_numpy()
-            order = np.argsort(key)
-            shard = table["shard"][0].as_py()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """One pass over a task's rows, SHARD at a time, each from where the last one ended."""
+            shard = TaskContext.get().partitionId()
+            rng = np.random.default_rng([seed, turn, shard])
             m, seen = parts(state.value)
-            epoch(m, seen, key[order], n[order], class_counts, np.random.default_rng([seed, turn, shard]))
-            return as_table(shard, int(n.sum()), flat(m, seen))
+            total = 0
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+            for batch in batches:
+                held.append((batch.column("key").to_numpy(), batch.column("n").to_numpy()))
+                size += batch.num_rows
+                if size >= 2 * SHARD:  # so that no small rest is left
+                    key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                    epoch(m, seen, key[:SHARD], n[:SHARD], class_counts, rng)
+                    total += int(n[:SHARD].sum())
+                    held, size = [(key[SHARD:], n[SHARD:])], size - SHARD
+            if size:
+                key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                epoch(m, seen, key, n, class_counts, rng)
+                yield from as_table(shard, total + int(n.sum()), flat(m, seen)).to_batches()
 
         def gather(table: pa.Table) -> pa.Table:
             n, total = mean(triples(table))
             return as_table(min(table["shard"].to_pylist()), n, total)
 
-        found = dealt.groupBy("shard").applyInArrow(run, schema)
+        found = trigrams.mapInArrow(run, schema)
         if lanes > 1:
             found = found.withColumn("lane", F.col("shard") % lanes).groupBy("lane").applyInArrow(gather, schema)
         if got := mean(triples(found.toArrow())):  # ``lanes`` rows
@@ -338,7 +349,8 @@ def score(docs: DataFrame, key: str, text: str, train: DataFrame, shortlist: int
                 found, n = counted(shared.value.look_up(hashes, bucket)[1], rows, shared.value.n_classes)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["key", "n"])
 
-    trigrams = materialize(train.select(text).mapInArrow(classify, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    trigrams = train.select(text).mapInArrow(classify, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    trigrams = materialize(trigrams.repartition(F.expr(f"key DIV {vocab.n_classes}")))  # a context has n_classes rows at most
     model = spark.sparkContext.broadcast(fit_all(trigrams, vocab.class_counts))
     discard(trigrams)
 
