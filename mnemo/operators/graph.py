@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemo.functions import score as S
+from mnemo.session import shared_dir
 
 # Relation, weight, along (out), against (in), priority, handling, hops.
 POLICY = [
@@ -29,10 +30,9 @@ REASONING = ("caused_by", "prevents", "implies")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write once to the folder in spark.checkpoint.dir (a private one only if unset) and read again."""
+    """Write once to the folder that driver and executors share and read again."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{at.rstrip('/')}/graph/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from mnemo.functions import score as S
 from mnemo.functions import text as X
 
+from .graph import written
+
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     """Slim rows dealt out evenly before costly expressions (adaptive execution would merge them by their few bytes)."""
@@ -42,15 +44,15 @@ def top(scored: DataFrame, k: int, by: str = "score", group: str = "qid", tie: s
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "id", text: str = "content", qkey: str = "qid", qtext: str = "query") -> DataFrame:
     """(qid, id, score, rank): the k best documents of each query."""
     wanted = terms_of(queries, qkey, qtext)
-    tokens = docs.select(F.col(key).alias("id"), X.words(F.coalesce(text, F.lit(""))).alias("words")).filter(F.size("words") > 0)
-    lengths = tokens.select("id", F.size("words").cast("bigint").alias("len"))
-    n, mean = lengths.agg(F.count("*")).scalar(), lengths.agg(F.avg("len")).scalar()
-    # Only words that some query asks for are counted and shuffled.
-    asked = tokens.select("id", F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = asked.groupBy("term", "id").agg(F.count("*").alias("tf"))
+    words = X.words(F.coalesce(text, F.lit("")))
+    lengths = docs.select(F.size(words).cast("bigint").alias("len")).filter("len > 0")
+    stats = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("mean"))).scalar()
+    # Words that some query asks for are counted, with the length beside them, and written once: three steps read them.
+    tokens = docs.select(F.col(key).alias("id"), words.alias("words")).select("id", F.size("words").cast("bigint").alias("len"), F.explode("words").alias("term"))
+    hits = written(tokens.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf")))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").join(wanted, "term").join(lengths, "id")
-    part = S.bm25(F.col("tf"), F.col("df"), n, F.col("len"), mean)
+    rows = hits.join(df, "term").join(wanted, "term")
+    part = S.bm25(F.col("tf"), F.col("df"), stats["n"], F.col("len"), stats["mean"])
     return top(rows.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score")), k)
 
 
@@ -67,7 +69,7 @@ def substring_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "id
     need = pairs.groupBy("term").agg(F.count("*").alias("need"))
     low = docs.select(key, age, F.lower(text).alias("low"))
     # Fields keep punctuation, as terms do inside; a term never holds white space.
-    vocabulary = low.select(F.explode(X.fields(F.col("low"))).alias("word")).distinct()
+    vocabulary = written(low.select(F.explode(X.fields(F.col("low"))).alias("word")).distinct())
     found = vocabulary.filter(F.length("word") >= 3).select("word", F.explode(grams(F.col("word"))).alias("gram")).join(pairs, "gram").groupBy("word", "term").agg(F.count("*").alias("n"))
     matched = found.join(need, "term").filter("n = need").filter(F.contains("word", "term")).select("word", "term")
     few = F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1, F.lit(1)), lambda i: F.substring("word", i, n))))
