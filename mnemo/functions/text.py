@@ -315,7 +315,7 @@ def highlight(content: Column, terms: Column) -> Column:
 
 def paragraphs(content: Column) -> Column:
     """Parts of more than 20 characters between blank lines; a line 'Name: ...' opens a part."""
-    lines = F.transform(F.split(content, "\n"), F.btrim)
+    lines = F.transform(F.split(content, "\n"), lambda x: F.btrim(x))
     cut = F.transform(lines, lambda x: F.when((x == "") | F.instr(x, ": ").between(2, 25), F.concat(F.lit("\x01"), x)).otherwise(x))
     return F.filter(F.transform(F.split(F.array_join(cut, "\n"), "\x01"), lambda p: F.btrim(p, F.lit(" \n\t\r"))), lambda p: F.length(p) > 20)
 

@@ -7,7 +7,7 @@ from mnemo import plans
 from .duck import connect, rows_of_duck, rows_of_spark
 
 #: May have no row on so little data.
-MAY_BE_EMPTY = {"statement_reserve", "paraphrase_pairs", "entity_cooccurrence", "topic_overlap_pairs", "purge_candidates", "eval_hit_at_k", "semantic_dedup_window", "filtered_list"}
+MAY_BE_EMPTY = {"statement_reserve", "paraphrase_pairs", "entity_cooccurrence", "topic_overlap_pairs", "purge_candidates", "eval_hit_at_k", "semantic_dedup_window", "filtered_list", "parent_boost", "forced_contradictions", "dormant_resurrection"}
 
 
 @pytest.fixture(scope="module")
