@@ -46,7 +46,9 @@ class Store:
 
     def versions(self, at: int | None = None) -> DataFrame:
         """All rows of a snapshot (the head by default)."""
-        folders = self._folders(self.head() if at is None else at)
+        return self._read([f for f in self._folders(self.head() if at is None else at) if f.startswith("data/")])
+
+    def _read(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders])
@@ -56,18 +58,25 @@ class Store:
         w = Window.partitionBy("ns", "key").orderBy(F.desc("version"))
         return self.versions(at).withColumn("__r", F.row_number().over(w)).filter("__r = 1 AND NOT deleted").drop("__r")
 
-    def _commit(self, rows: DataFrame, base: int, replace: bool = False) -> int:
+    def _commit(self, rows: DataFrame, base: int, instead: list[str] | None = None) -> int:
+        """Add rows to the folders of ``base``, or to those named ``instead``."""
         folder = f"data/{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{folder}")
-        listed = [folder] if replace else [*self._folders(base), folder]
-        try:
-            stream = self._fs.create(self._at("manifests", str(base + 1)), False)
-        except Exception as e:
-            raise Conflict(f"version {base + 1} was committed meanwhile") from e
+        listed = [*(self._folders(base) if instead is None else instead), folder]
+        # Written under another name first: whoever sees a manifest sees all of it.
+        jvm, made, wanted = self.spark._jvm, self._at("manifests", f".{uuid.uuid4().hex}"), self._at("manifests", str(base + 1))
+        stream = self._fs.create(made, False)
         try:
             stream.write(bytearray("\n".join(listed).encode()))
         finally:
             stream.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        never_over = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(self._fs.makeQualified(made), self._fs.makeQualified(wanted), never_over)
+        except Exception as e:
+            self._fs.delete(made, False)
+            raise Conflict(f"version {base + 1} was committed meanwhile") from e
         return base + 1
 
     def put(self, news: DataFrame, base: int | None = None) -> int:
@@ -83,7 +92,7 @@ class Store:
         for c, v in defaults.items():
             news = news.withColumn(c, v if c not in news.columns else F.coalesce(F.col(c), v))
         now = self.live(at).select("ns", "key", F.sha2("content", 256).alias("__h"))
-        tops = self.versions(at).groupBy("ns", "key").agg(F.max("version").alias("__top"), F.max_by("id", "version").alias("__id"))
+        tops = self._read(self._folders(at)).groupBy("ns", "key").agg(F.max("version").alias("__top"), F.max_by("id", "version").alias("__id"))
         fresh = news.withColumn("__h", F.sha2("content", 256)).join(now, ["ns", "key", "__h"], "left_anti").drop("__h")
         w = Window.partitionBy("ns", "key").orderBy("created_at", "content")
         rows = fresh.join(tops, ["ns", "key"], "left").withColumn("version", F.coalesce("__top", F.lit(0)) + F.row_number().over(w))
@@ -99,9 +108,13 @@ class Store:
         return self._commit(stones, at)
 
     def compact(self) -> int:
-        """Rewrite the live rows only."""
+        """Rewrite the live rows only; the last tombstones go to a folder that just tells where versions and ids go on."""
         at = self.head()
-        return self._commit(self.live(at), at, replace=True)
+        w = Window.partitionBy("ns", "key").orderBy(F.desc("version"))
+        last = self._read(self._folders(at)).withColumn("__r", F.row_number().over(w)).filter("__r = 1 AND deleted").drop("__r")
+        gone = f"gone/{uuid.uuid4().hex}"
+        last.write.parquet(f"{self.path}/{gone}")
+        return self._commit(self.live(at), at, instead=[gone])
 
 
 def patch(content: str, diff: str) -> str:

@@ -13,8 +13,9 @@ from mnemo.operators import views as V
 from mnemo.sources.tables import DLG_SQL, VER_SQL, live_sql, mem_sql
 
 from .graph import EDGE_SQL, edges
+from .lifecycle import DISTINCTIVE
 from .registry import ORACLES, query
-from .retrieval import terms
+from .retrieval import STOP, _any, terms
 
 
 @query("""WITH x AS (SELECT event_id, event_id % 6 AS f, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S') AS c, date_trunc('second', ts) AS s FROM events)
@@ -182,3 +183,68 @@ FROM documents WHERE lang IS NOT NULL GROUP BY 1""")
 def report_table(t):
     rows = t.documents.filter("lang IS NOT NULL").select("lang", (F.col("doc_id") * 37 % 100 / 100.0).alias("recall"), (F.col("doc_id") * 7 % 40 / 40.0).alias("mrr"))
     return E.report_lines(rows, "lang", ["recall", "mrr"])
+
+
+ASKING = ["", "today ", "What is the current plan: ", "any tips? ", "last week ", "a month ago ", "this week "]
+ASKING_SQL = "(SELECT conv_id, turn, [" + ", ".join(f"'{x}'" for x in ASKING) + "][((conv_id + turn) % 7 + 1)::INT] || text AS query FROM conversations)"
+
+
+def said(t, cues):
+    """Turns of all conversations, each opened by one of the cues."""
+    cue = F.element_at(F.array(*map(F.lit, cues)), ((F.col("conv_id") + F.col("turn")) % len(cues) + 1).cast("int"))
+    return t.conversations.select("conv_id", "turn", F.concat(cue, "text").alias("query"))
+
+
+@query(f"""SELECT conv_id, turn, {_any(X.TEMPORAL_WORDS)} AS temporal, {_any(X.UPDATE_WORDS)} AS update, {_any(X.PREFERENCE_WORDS, "?.,!\"''")} AS wants,
+CASE WHEN regexp_matches(query, '(?i)\\byesterday\\b') THEN 48 WHEN regexp_matches(query, '(?i)\\blast week\\b|\\ba week ago\\b|\\bpast week\\b') THEN 288
+ WHEN regexp_matches(query, '(?i)\\blast month\\b|\\ba month ago\\b|\\bpast month\\b') THEN 1080 WHEN regexp_matches(query, '(?i)\\btoday\\b|\\bthis morning\\b|\\btonight\\b') THEN 24
+ WHEN regexp_matches(query, '(?i)\\bthis week\\b') THEN 168 END AS from_hours FROM {ASKING_SQL} q""")
+def turn_intents(t):
+    q = F.col("query")
+    return said(t, ASKING).select("conv_id", "turn", X.is_temporal(q).alias("temporal"), X.is_update(q).alias("update"), X.wants_preference(q).alias("wants"), X.temporal_window(q)["from_hours"].alias("from_hours"))
+
+
+WIDTH_SQL = "['', 'How many ', 'List '][((conv_id + turn) % 3 + 1)::INT] || text"
+WIDE = "(?i)\\b(how many|list|all|every|compare|summar\\w+|overall|in total|both)\\b"
+
+
+@query(f"WITH x AS (SELECT conv_id, turn, regexp_matches({WIDTH_SQL}, '{WIDE}') AS w FROM conversations) SELECT conv_id, turn, CASE WHEN w THEN 'wide' ELSE 'narrow' END AS intent, CASE WHEN w THEN 15 ELSE 5 END AS k FROM x")
+def turn_width(t):
+    return said(t, ["", "How many ", "List "]).select("conv_id", "turn", E.wide_intent(F.col("query")).alias("intent"), E.top_k_for(F.col("query")).alias("k"))
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, regexp_extract_all(text, '\\S+') AS ws FROM conversations),
+y AS (SELECT conv_id, turn, list_filter(list_transform(list_filter(list_transform(ws[2:], lambda w: trim(w, '{X.TRIM_SET.replace("'", "''")}')), lambda w: strlen(w) >= 3 AND regexp_matches(w, '^[A-Z]')), lambda w: lower(w)), lambda w: w NOT IN ({STOP})) AS ns FROM x)
+SELECT conv_id, turn, array_to_string(list_filter(ns, lambda w, i: list_position(ns, w) = i), '|') AS names FROM y""")
+def turn_names(t):
+    return t.conversations.select("conv_id", "turn", F.array_join(X.query_names(F.col("text")), "|").alias("names"))
+
+
+SECTIONED = "'intro' || chr(10) || '## ' || replace(coalesce(text, ''), '. ', '.' || chr(10) || '## ')"
+
+
+@query(f"""WITH x AS (SELECT doc_id AS id, string_split({SECTIONED}, chr(10) || '## ') AS ps FROM documents), y AS (SELECT id, unnest(range(len(ps))) AS pos, unnest(ps) AS p FROM x),
+z AS (SELECT id, pos, trim(CASE WHEN pos > 0 THEN '## ' || p ELSE p END, ' ' || chr(10) || chr(9) || chr(13)) AS part FROM y), h AS (SELECT *, regexp_extract(part, '^## (.*)', 1) AS heading FROM z WHERE part <> '')
+SELECT id, pos, heading, CASE WHEN heading <> '' THEN trim(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '-') ELSE 'preamble' END AS key,
+ trim(regexp_replace(part, '^## .*\\n?', ''), ' ' || chr(10) || chr(9) || chr(13)) AS body FROM h""")
+def document_sections(t):
+    marked = F.concat(F.lit("intro\n## "), F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n## ")))
+    return M.sections(t.documents.select(F.col("doc_id").alias("id"), marked.alias("text")))
+
+
+NOTE_SQL = "SELECT conv_id * 1000 + turn AS id, 'c' || conv_id % 10 AS ns, 'k' || turn AS key, CASE WHEN turn % 3 = 0 THEN 'switched to another ' ELSE '' END || text AS content, 100000000 - (conv_id * 1000 + turn) AS age_hours FROM conversations"
+
+
+@query(f"""WITH m AS (SELECT *, regexp_matches(content, '{X.CHANGE_CUES.replace("'", "''")}') AS new, {DISTINCTIVE} AS ts FROM ({NOTE_SQL})), n AS (SELECT *, row_number() OVER (PARTITION BY ns ORDER BY age_hours DESC, id) AS pos FROM m),
+p AS (SELECT x.id AS new_id, y.id AS old_id, y.pos AS pos, len(list_intersect(x.ts, y.ts)) AS overlap FROM n x JOIN n y ON x.ns = y.ns AND y.pos < x.pos AND y.pos >= x.pos - 100 AND x.key <> y.key WHERE x.new)
+SELECT new_id, old_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY overlap DESC, pos DESC) AS r FROM p WHERE overlap >= 2) WHERE r = 1""")
+def turn_supersedes(t):
+    i = F.col("conv_id") * 1000 + F.col("turn")
+    content = F.concat(F.when(F.col("turn") % 3 == 0, "switched to another ").otherwise(""), "text")
+    return L.superseded(t.conversations.select(i.alias("id"), F.concat(F.lit("c"), (F.col("conv_id") % 10).cast("string")).alias("ns"), F.concat(F.lit("k"), F.col("turn").cast("string")).alias("key"), content.alias("content"), (F.lit(100000000) - i).alias("age_hours")))
+
+
+@query("""SELECT doc_id AS id, (doc_id % 50) || ['d', 'h', 'm', 's', 'w', ''][(doc_id % 6 + 1)::INT] AS ttl, CASE doc_id % 6 WHEN 0 THEN 86400 WHEN 1 THEN 3600 WHEN 2 THEN 60 WHEN 3 THEN 1 END * (doc_id % 50) AS seconds FROM documents""")
+def document_ttl(t):
+    unit = F.element_at(F.array(*map(F.lit, ["d", "h", "m", "s", "w", ""])), (F.col("doc_id") % 6 + 1).cast("int"))
+    return t.documents.select(F.col("doc_id").alias("id"), F.concat((F.col("doc_id") % 50).cast("string"), unit).alias("ttl")).withColumn("seconds", L.ttl_seconds(F.col("ttl")))

@@ -109,3 +109,19 @@ def test_repoint_and_upsert(spark):
     assert (moved["a"], moved["b"]) == (1, 3)
     news = spark.createDataFrame([(1, 2, "relates_to", 0.9, 1)], e.schema)
     assert G.upsert(e, news).select(F.max("weight")).first()[0] == 0.9
+
+
+def test_versions_go_on_after_compaction(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/again")
+    note = lambda c: spark.createDataFrame([("n", "k", c)], "ns string, key string, content string")
+    s.put(note("one"))
+    first = s.live().first()["id"]
+    s.remove(note("one"))
+    s.compact()
+    assert s.live().count() == 0
+    s.put(note("two"))
+    row = s.live().first()
+    assert (row["version"], row["content"]) == (3, "two") and row["id"] != first
+    with pytest.raises(Conflict):
+        s._commit(s.live(), s.head() - 1)
+    assert not [x for x in (tmp_path / "again" / "manifests").iterdir() if x.name.startswith(".") and not x.name.endswith(".crc")]
