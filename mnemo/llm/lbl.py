@@ -138,20 +138,29 @@ class Model:
     bias: np.ndarray
 
     def log10(self, c1: np.ndarray, c2: np.ndarray, target: np.ndarray, block: int = 2048) -> np.ndarray:
-        """log10 P(target | last class, the one before), normalised over all classes."""
+        """log10 P(target | last class, the one before), normalised over all classes.
+
+        The normaliser of a context is kept for later calls where that takes a few MB at most.
+        """
         k = len(self.bias)
-        pair, inverse = np.unique(c2 * k + c1, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        cuts = np.searchsorted(inverse[order], np.arange(len(pair) + 1))
-        out = np.empty(len(target), np.float64)
         a, b = self.context @ self.near, self.context @ self.far
-        for lo in range(0, len(pair), block):
-            hi = min(lo + block, len(pair))
-            logits = (a[pair[lo:hi] % k] + b[pair[lo:hi] // k]) @ self.target.T + self.bias
+        pair = c2 * k + c1
+        kept = self.__dict__.setdefault("_z", np.full(k * k, np.nan, np.float32)) if k <= 1 << 11 else None
+        need = np.unique(pair if kept is None else pair[np.isnan(kept[pair])])
+        z = np.empty(len(need), np.float32)
+        for lo in range(0, len(need), block):
+            some = need[lo : lo + block]
+            logits = (a[some % k] + b[some // k]) @ self.target.T + self.bias
             top = logits.max(axis=1, keepdims=True)
-            z = top[:, 0] + np.log(np.exp(logits - top).sum(axis=1))
-            at = order[cuts[lo] : cuts[hi]]
-            out[at] = logits[inverse[at] - lo, target[at]] - z[inverse[at] - lo]
+            logits -= top
+            z[lo : lo + block] = top[:, 0] + np.log(np.exp(logits, out=logits).sum(axis=1))
+        if kept is not None:
+            kept[need] = z
+        out = np.empty(len(target), np.float64)
+        for lo in range(0, len(target), 1 << 16):
+            at = slice(lo, lo + (1 << 16))
+            own = np.einsum("ij,ij->i", a[c1[at]] + b[c2[at]], self.target[target[at]]) + self.bias[target[at]]
+            out[at] = own - (z[np.searchsorted(need, pair[at])] if kept is None else kept[pair[at]])
         return out / np.log(10)
 
 
