@@ -72,34 +72,47 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same / F.size(a))
 
 
-def neighbours(docs: DataFrame, key: str, text: str, rows_per_bucket: int = 4000, max_buckets: int = 10000) -> tuple[DataFrame, DataFrame]:
+def neighbours(docs: DataFrame, key: str, text: str, rows_per_bucket: int = 1000, max_ranges: int = 10000, max_parts: int = 100) -> tuple[DataFrame, DataFrame]:
     """(rows, behind): rows has (bucket, pos, k, t, next_text) of every row, behind (bucket, next_bucket).
 
     The next text is that of the next row in descending order of ``key`` (nulls last, ties by text; the
-    first row follows the last). Buckets are ranges of ``key`` of about equal numbers of rows (at most
-    ``max_buckets`` bounds come to the driver). Each gets a copy of the first row of the bucket behind it,
-    so a window within buckets finds every neighbour and texts are shuffled once.
+    first row follows the last). Buckets are ranges of ``key`` of about equal numbers of rows, whose bounds
+    (``max_ranges`` at most) come to the driver; with more rows than these hold, each range is cut into up
+    to ``max_parts`` parts of equal width. Each bucket gets a copy of the first row of the bucket behind it,
+    so a window within buckets finds every neighbour and texts are shuffled once. Rows of one id share a bucket.
     """
     from pyspark.ml.feature import Bucketizer
 
-    buckets = max(1, min(max_buckets, docs.count() // rows_per_bucket))
+    spark = docs.sparkSession
+    count = docs.count()
+    ranges = max(1, min(max_ranges, count // rows_per_bucket))
+    parts = max(1, min(max_parts, count // (ranges * rows_per_bucket)))
     bounds: list[float] = []
-    if buckets > 1:
-        got = docs.agg(F.percentile_approx(F.col(key).cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
-        bounds = sorted(set(got))
+    if ranges > 1:
+        d = F.col(key).cast("double")
+        low, high, got = docs.agg(F.min(d), F.max(d), F.percentile_approx(d, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()
+        bounds = sorted(set(got or []))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
     kind = rows.schema["k"].dataType
+    if bounds:
+        edges = [low, *bounds, high]
+        spans = [(float(i), lo, parts / (hi - lo) if hi > lo else 0.0) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+        cuts = F.broadcast(spark.createDataFrame(spans, "__range double, __low double, __scale double"))
 
     def put(d: DataFrame) -> DataFrame:
         if not bounds:
             return d.withColumn("bucket", F.lit(0))
-        cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="__d", outputCol="bucket")
-        return cut.transform(d.withColumn("__d", F.coalesce(F.col("k").cast("double"), F.lit(-1.7e308)))).drop("__d").withColumn("bucket", F.col("bucket").cast("int"))
+        cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="__d", outputCol="__range")
+        d = cut.transform(d.withColumn("__d", F.coalesce(F.col("k").cast("double"), F.lit(-1.7e308)))).join(cuts, "__range")
+        part = F.least(F.greatest(F.floor((F.col("__d") - F.col("__low")) * F.col("__scale")), F.lit(0)), F.lit(parts - 1))
+        return d.withColumn("bucket", (F.col("__range") * parts + part).cast("int")).drop("__d", "__range", "__low", "__scale")
 
     placed = put(rows)
-    tops = put(rows.select("k")).groupBy("bucket").agg(F.max("k").alias("top")).orderBy(F.desc("bucket")).collect()  # max_buckets rows at most
-    moved = [(tops[(i + 1) % len(tops)]["bucket"], tops[(i + 1) % len(tops)]["top"], tops[i]["bucket"]) for i in range(len(tops))]
-    table = docs.sparkSession.createDataFrame(moved, f"next_bucket int, top {kind.simpleString()}, into int")
+    tops = put(rows.select("k")).groupBy("bucket").agg(F.max("k").alias("top"))  # max_ranges * max_parts rows at most
+    ring = Window.orderBy(F.desc("bucket"))
+    own, after = F.struct("bucket", "top"), F.lead(F.struct("bucket", "top")).over(ring)
+    table = tops.select(F.col("bucket").alias("into"), F.coalesce(after, F.first(own).over(ring)).alias("n"))
+    table = materialize(table.select(F.col("n.bucket").alias("next_bucket"), F.col("n.top").alias("top"), "into"))
     heads = placed.join(F.broadcast(table), (F.col("bucket") == F.col("next_bucket")) & F.col("k").eqNullSafe(F.col("top")))
     heads = heads.groupBy("into").agg(F.min("t").alias("t")).select(F.lit(None).cast(kind).alias("k"), "t", F.col("into").alias("bucket"), F.lit(1).alias("end"))
     order = Window.partitionBy("bucket").orderBy("end", F.desc_nulls_last("k"), "t")

@@ -83,6 +83,21 @@ def test_weighted_sampling_estimates_generalised_jaccard(spark):
     assert by[14][0]["fp"] == by[14][1]["fp"]
 
 
+def test_weighted_sampling_parts_of_ranges_find_every_neighbour(spark):
+    rng = random.Random(8)
+    ids = [None, None, *(rng.choice([rng.randrange(50), rng.randrange(10**6), 7]) for _ in range(120))]
+    docs = frame(spark, [f"t{rng.randrange(40)}" for _ in ids], ids)
+    want = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = [(k, t, n) for (k, t), (_, n) in zip(want, want[1:] + want[:1], strict=True)]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    for per, ranges, parts in ((2, 4, 5), (1, 3, 100), (1000, 4, 5)):
+        rows, behind = cws.neighbours(docs, "doc_id", "text", rows_per_bucket=per, max_ranges=ranges, max_parts=parts)
+        assert sorted(((r["k"], r["t"], r["next_text"]) for r in rows.collect()), key=order) == sorted(want, key=order)
+        used = {r["bucket"] for r in rows.collect()}
+        assert {r["bucket"] for r in behind.collect()} == {r["next_bucket"] for r in behind.collect()} == used
+        assert len(used) > ranges or per == 1000
+
+
 def test_weighted_sampling_buckets_find_every_neighbour(spark):
     docs = frame(spark, [f"t{i}" for i in range(50)], [i * i for i in range(50)])
     rows, _ = cws.neighbours(docs, "doc_id", "text", rows_per_bucket=5)
