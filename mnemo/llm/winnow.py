@@ -2,8 +2,8 @@
 
 Both sides keep, for every run of ``window`` words, the least hash among its k-grams; two equal runs
 keep the same fingerprint, so every shared span of ``window`` words meets in the join. Fingerprints of
-the benchmark also set bits of a fixed-size map (``SLOTS`` bits, whatever the benchmark's size) by which
-tasks drop almost all other runs before anything is shuffled. What is left joins on the fingerprint and
+the benchmark also set bits of a map (eight bits a window, 32 MB at most) by which tasks drop almost all
+other runs before anything is shuffled. What is left joins on the fingerprint and
 is confirmed on the words themselves, then extended to the words each occurrence covers.
 
 An item with fewer words than ``window`` is one window of its own length, found by hashing every run of
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._io import materialize
 
-SLOTS = 1 << 20
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 28
+PIECE = 4096  # bytes of a bitmap that Spark's bitmap functions build
 
 
 def _runs(batch: pa.RecordBatch, text: str):
@@ -79,25 +80,41 @@ def windows(items: DataFrame, key: str, text: str, window: int = 10, k: int = 5)
     return items.select(key, text).mapInArrow(run, f"item {kind}, print bigint, size int, words string")
 
 
+def print_slots(wanted: DataFrame, least: int = LEAST_SLOTS, most: int = MOST_SLOTS) -> np.ndarray:
+    """Bits (least first in a byte) of the slots that the prints of ``wanted`` fill.
+
+    There are eight slots a window or more, ``most`` (a power of two) at most; executors fill them in pieces of
+    4 KB. With more windows than that the map lets more prints through to the join, which decides.
+    """
+    slots = min(most, max(least, 1 << (8 * wanted.count()).bit_length()))
+    place = F.pmod("print", F.lit(slots)) + 1
+    pieces = wanted.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(slots // 8, np.uint8)
+    for at, bits in pieces.collect():  # most / 32,768 rows at most
+        out[(at - 1) * PIECE : at * PIECE] = np.frombuffer(bits, np.uint8)
+    return out
+
+
 def occurrences(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str = "text", window: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(rows, hits): rows has (row, id, n_words) of every document row; hits has (row, start, size, item), one for each window found."""
     spark = docs.sparkSession
     wanted = materialize(windows(items, item_key, text, window, k).distinct())
     lengths = sorted(r[0] for r in wanted.filter(F.col("size") < window).select("size").distinct().collect())  # below ``window`` values
-    slots = np.zeros(SLOTS, bool)
-    slots[[r[0] for r in wanted.select(F.pmod("print", F.lit(SLOTS)).cast("int")).distinct().toLocalIterator()]] = True  # SLOTS values at most
-    shared = spark.sparkContext.broadcast(np.packbits(slots))
+    filled = print_slots(wanted)
+    shared = spark.sparkContext.broadcast(filled)
     kind = docs.schema[doc_key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
+        bits = shared.value
+        last = np.uint64(8 * len(bits) - 1)
         for batch in batches:
             for part in tx.pieces(batch, text):
                 data, starts, ends, row, hashes = _runs(part, text)
                 found = [(*_window_prints(hashes, row, window, k), window)] + [(*_short_prints(hashes, row, n), n) for n in lengths]
                 firsts, prints, sizes = [], [], []
                 for first, value, n in found:
-                    may = bits[(value & np.uint64(SLOTS - 1)).astype(np.int64)]
+                    slot = (value & last).astype(np.int64)
+                    may = ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
                     firsts.append(first[may])
                     prints.append(value[may])
                     sizes.append(np.full(int(may.sum()), n, np.int32))

@@ -353,3 +353,15 @@ def test_html_templates_of_sections_and_copies(spark):
     assert len(got) == 90
     assert all(got[n] == f"Head {n}\nWords of {n}" for n in range(60))
     assert all(got[n] == f"Head {0 if n % 2 else n}\nWords of {0 if n % 2 else n}" for n in range(100, 130))
+
+
+def test_winnowing_map_holds_every_print(spark):
+    rng = random.Random(5)
+    prints = [rng.randrange(-(2**63), 2**63) for _ in range(3000)] + [0, -1, 2**15 - 1, 2**15]
+    wanted = spark.createDataFrame([(p,) for p in prints], "print bigint")
+    for least, most, slots in ((1 << 15, 1 << 15, 1 << 15), (1 << 15, 1 << 28, 1 << 15), (1 << 18, 1 << 28, 1 << 18), (1 << 15, 1 << 16, 1 << 15)):
+        bits = np.unpackbits(winnow.print_slots(wanted, least, most), bitorder="little")
+        assert len(bits) == slots
+        assert set(np.flatnonzero(bits).tolist()) == {p % slots for p in prints}
+    assert len(winnow.print_slots(wanted.union(wanted).union(wanted), 1 << 15)) * 8 == 1 << 17
+    assert not winnow.print_slots(wanted.limit(0)).any()
