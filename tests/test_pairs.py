@@ -26,6 +26,16 @@ def test_paraphrase_pairs_are_not_shuffled(spark):
     assert {(r["qid"], r["id"]): r["shared"] for r in got.collect()} == {p: n for p, n in brute(sets).items() if p[0] % 3 == 0}
 
 
+def test_paraphrase_classes_link_blocks(spark):
+    sets = some_sets(4)
+    got = L.paraphrase_classes(spark.createDataFrame([(i, " ".join(x)) for i, x in sets.items()], "id bigint, content string")).collect()
+    links, root = brute(sets), {i: i for i in sets}
+    for _ in sets:
+        for a, b in links:
+            root[b] = min(root[a], root[b])
+    assert {r["id"]: (r["class"], r["links"]) for r in got} == {i: (root[i], sum(a == i for a, _ in links)) for i in sets}
+
+
 def test_matches_in_small_steps(monkeypatch):
     level = np.full(1 << P.BITS, 8, np.uint8)
     pack = P._set_blocks(level)
