@@ -1,6 +1,7 @@
 import numpy as np
 
 from mnemo.operators import lifecycle as L
+from mnemo.operators import mining as M
 from mnemo.operators import pairs as P
 
 
@@ -57,3 +58,38 @@ def test_matches_in_small_steps(monkeypatch):
             i, j, n = P._matches(x, y)
             got |= {tuple(sorted((p, q))): c for p, q, c in zip(x.ids[i].tolist(), y.ids[j].tolist(), n.tolist(), strict=True)}
         assert got == {p: c for p, c in want.items() if p[0] < p[1]} and len(got) > 50
+
+
+def test_topic_pairs_are_not_shuffled(spark):
+    rng = np.random.default_rng(6)
+    lists = {i: {f"t{w}": float(rng.integers(1, 9)) / 8 for w in rng.choice(40, 1 + i % 10, replace=False)} for i in range(90)}
+    lists |= {i + 90: lists[i] for i in range(5)}
+    dot = lambda x, y: sum(w * y.get(t, 0.0) for t, w in x.items())
+    want = {(a, b): (len(x.keys() & y.keys()), round(dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5, 6)) for a, x in lists.items() for b, y in lists.items() if a != b}
+    want = {p: v for p, v in want.items() if v[1] >= 0.3}
+    listed = spark.createDataFrame([(i, t, w) for i, x in lists.items() for t, w in x.items()], "id bigint, term string, score double")
+    ids = spark.createDataFrame([(i,) for i in [*lists, 777]], "id bigint")
+    got = M.topic_overlap(listed, ids.filter("id % 4 = 0"))
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["qid"], r["id"]): (r["shared"], r["cosine"]) for r in got.collect()} == {p: v for p, v in want.items() if p[0] % 4 == 0}
+
+
+def test_topic_classes_link_blocks(spark):
+    rng = np.random.default_rng(7)
+    lists = {i: {f"t{w}": float(rng.integers(1, 9)) / 8 for w in rng.choice(150, 1 + i % 6, replace=False)} for i in range(90)}
+    lists |= {i + 90: lists[i] for i in range(5)}
+    listed = spark.createDataFrame([(i, t, w) for i, x in lists.items() for t, w in x.items()], "id bigint, term string, score double")
+    ids = spark.createDataFrame([(i,) for i in [*lists, 777]], "id bigint")
+    links = [(r["qid"], r["id"]) for r in M.topic_overlap(listed, ids).collect()]
+    root = {i: i for i in [*lists, 777]}
+    for _ in lists:
+        for a, b in links:
+            root[b] = min(root[a], root[b])
+    got = {r["id"]: (r["class"], r["links"]) for r in M.topic_classes(ids, listed).collect()}
+    assert got == {i: (k, sum(a == i for a, _ in links)) for i, k in root.items()} and len(set(root.values())) > 5
+
+
+def test_topics_of_a_document_in_several_rows(spark):
+    rows = [(1, "apple apple pear"), (1, "apple plum"), (2, "pear"), (3, None), (None, "plum")]
+    got = {(r["id"], r["term"]): r["rank"] for r in M.topics(spark.createDataFrame(rows, "id bigint, content string"), 2).collect()}
+    assert got == {(1, "apple"): 1, (1, "plum"): 2, (2, "pear"): 1}
